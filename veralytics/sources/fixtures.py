@@ -260,7 +260,7 @@ def with_fixtures(sql: str, extra: dict[str, str] | None = None) -> str:
     visit(sql)
 
     def render(text: str) -> str:
-        return text.strip().format(**{n: n for n in _names(text)})
+        return _NAME.sub(r"\1", text.strip()).replace("{{", "{").replace("}}", "}")
 
     ctes = [f"{n} AS ({render(known[n])})" for n in ordered]
     body = render(sql)
