@@ -7,7 +7,6 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from veralytics import config as C
 from veralytics.functions import clock, text
@@ -186,13 +185,6 @@ def lineage(gold: DataFrame, requests: DataFrame) -> DataFrame:
     return contains_join(needles, names, "domain", "_needle", "_name").drop("_needle", "_name")
 
 
-def version_order(history: DataFrame, request: str) -> DataFrame:
-    """Number the rows of each request by version, then entity."""
-    return history.withColumn(
-        "seq", F.row_number().over(W.partitionBy(request).orderBy("version", "entity", "effective_date"))
-    )
-
-
 def medallion_run(
     domains: DataFrame, bronze: DataFrame, silver: DataFrame, gold: DataFrame
 ) -> DataFrame:

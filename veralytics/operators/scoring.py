@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from veralytics import config as C
-from veralytics import dims
 from veralytics.functions import clock, text
 from veralytics.functions.numbers import extract_number
 from veralytics.operators.medallion import entity_lookup, gold_current
@@ -126,7 +125,7 @@ def freshness_probe(
     key = F.concat(F.lit(f"{company}__" if company else ""), F.col("domain"))
     reason = F.col("staleness_reason")
     return scored.select(
-        F.concat(key, F.lit("_"), F.date_format(at, "yyyy-MM-dd'T'HH-mm-ss")).alias("run_id"),
+        F.concat(key, F.lit("_"), F.translate(F.substring(at.cast("string"), 1, 19), " :", "T-")).alias("run_id"),
         F.lit(company).alias("company_id"),
         key.alias("domain_key"),
         "domain",
@@ -329,7 +328,14 @@ def crag_resolve(attempts: DataFrame, context: DataFrame, max_retries: int = C.M
     anything else falls back to the best context row. ``retries_used`` counts the retries;
     ``retries_reported`` is what the outer call of a nested retry reports: 1 after any retry.
     """
-    numbered = attempts.withColumn("_step", F.row_number().over(W.partitionBy("probe_id").orderBy("attempt")) - 1)
+    # The walk never goes past max_retries, so the rank filter (a per-task limit before the
+    # shuffle) is exact and keeps a probe with very many attempts small.
+    numbered = (
+        attempts.withColumn("_no", F.row_number().over(W.partitionBy("probe_id").orderBy("attempt")))
+        .filter(F.col("_no") <= max_retries + 1)
+        .withColumn("_step", F.col("_no") - 1)
+        .drop("_no")
+    )
     ends = (F.col("grade") != "AMBIGUOUS") | (F.col("_step") >= max_retries)
     walked = numbered.withColumn("_end", F.min(F.when(ends, F.col("_step"))).over(W.partitionBy("probe_id")))
     last = F.max("_step").over(W.partitionBy("probe_id"))
@@ -473,18 +479,13 @@ def domain_report(scores: DataFrame, exposure: DataFrame) -> DataFrame:
 
 
 def domain_report_plans(scores: DataFrame, exposure: DataFrame) -> DataFrame:
-    """The report as rows: each plan in its place within the domain, next to the domain's figures.
+    """The report as rows: every plan next to its domain's figures, in plan order.
 
-    Kept as rows, not as one nested list per domain, so that no domain has to fit into one row.
+    Kept as rows, not as one nested list per domain, so that no domain has to fit into one
+    task; the order is a range-partitioned sort.
     """
-    plans = remediation_plan(scores)
-    numbered = plans.withColumn("plan_no", global_number(plans, ["domain"], ["priority", "entity"]))
-    return numbered.join(domain_report(scores, exposure), "domain")
-
-
-def global_number(df: DataFrame, by: list[str], order: list[str]) -> Column:
-    """Position of a row within its group."""
-    return F.row_number().over(W.partitionBy(*by).orderBy(*order))
+    plans = remediation_plan(scores).join(domain_report(scores, exposure), "domain")
+    return plans.orderBy("domain", "priority", "entity")
 
 
 def validate_requests(requests: DataFrame, domains: DataFrame) -> DataFrame:
@@ -566,7 +567,7 @@ def executive_summary(exposures: DataFrame, as_of: datetime | str) -> DataFrame:
     from veralytics.operators.risk import domain_breakdown, portfolio_risk
 
     totals = portfolio_risk(exposures)
-    at = F.date_format(clock.moment(as_of), "yyyy-MM-dd HH:mm 'UTC'")
+    at = F.concat(F.substring(clock.moment(as_of).cast("string"), 1, 16), F.lit(" UTC"))
     head = totals.select(
         F.posexplode(
             F.array(

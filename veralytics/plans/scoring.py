@@ -375,8 +375,7 @@ def _(t: Tables) -> DataFrame:
 @query(
     "domain_report",
     """
-    SELECT p.domain, p.entity, p.primary_action, row_number() OVER (PARTITION BY p.domain ORDER BY p.priority, p.entity) AS plan_no,
-      c.entity_count, c.critical_count, c.stale_count, c.fresh_count, c.exposure_usd
+    SELECT p.domain, p.entity, p.primary_action, p.priority, c.entity_count, c.critical_count, c.stale_count, c.fresh_count, c.exposure_usd
     FROM {ox_plan} p JOIN (SELECT domain, count(*) AS entity_count, count(*) FILTER (staleness_level = 'CRITICAL') AS critical_count,
       count(*) FILTER (staleness_level = 'STALE') AS stale_count, count(*) FILTER (staleness_level = 'FRESH') AS fresh_count,
       round(sum(estimated_exposure_usd), 2) AS exposure_usd FROM {ox_risk} GROUP BY domain) c USING (domain)
@@ -386,7 +385,7 @@ def _(t: Tables) -> DataFrame:
     scored = raw_scores(t)
     exposure = R.domain_breakdown(R.simulate_entity(scored, t.domains))
     return S.domain_report_plans(scored, exposure).select(
-        "domain", "entity", "primary_action", "plan_no", "entity_count", "critical_count", "stale_count", "fresh_count", "exposure_usd"
+        "domain", "entity", "primary_action", "priority", "entity_count", "critical_count", "stale_count", "fresh_count", "exposure_usd"
     )
 
 
