@@ -239,7 +239,7 @@ SELECT item_id AS query_id, text AS query, embedding, d.domain
 FROM {benchmark} JOIN {embeddings} ON vec_id = item_id JOIN {fx_domains} d ON d.domain_id = item_id % 7
 """
 
-_NAME = re.compile(r"(?<!\{)\{([a-z_]+)\}(?!\})")
+_NAME = re.compile(r"(?<!\{)\{([a-z][a-z_0-9]*)\}(?!\})")
 
 
 def _names(sql: str) -> list[str]:
