@@ -52,3 +52,19 @@ def hours(n: int) -> Column:
 
 def days(n: int) -> Column:
     return F.expr(f"INTERVAL {int(n)} DAYS")
+
+
+def to_instant(ts: Column) -> Column:
+    """A plain UTC wall-clock time as a zoned instant, whatever the session zone (streams need one)."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), ts).cast("timestamp")
+
+
+def from_instant(ts: Column) -> Column:
+    """Back from an instant to the plain UTC wall-clock time."""
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), ts.cast("timestamp_ntz"))
+
+
+def utc_text(text: Column) -> Column:
+    """ISO text with or without an offset as plain UTC time; unreadable text gives null."""
+    zoned = text.rlike(r"(Z|[+-][0-9]{2}:?[0-9]{2})\s*$")
+    return F.when(zoned, from_instant(text.try_cast("timestamp"))).otherwise(text.try_cast("timestamp_ntz"))

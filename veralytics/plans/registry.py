@@ -20,12 +20,17 @@ def query(name: str, oracle: str | None = None):
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = fn
         if oracle is not None:
-            ORACLES[name] = with_fixtures(oracle)
+            ORACLES[name] = oracle
         return fn
 
     return keep
 
 
+def oracle(name: str) -> str:
+    """The runnable oracle text; built late, when every module has added its parts."""
+    return with_fixtures(ORACLES[name])
+
+
 def runnable(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return QUERIES[name](Tables(spark, sf_dir))
