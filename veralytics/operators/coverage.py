@@ -9,7 +9,8 @@ from veralytics import config as C
 from veralytics.functions import text
 from veralytics.functions.numbers import ratio
 from veralytics.operators.medallion import gold_current
-from veralytics.operators.vector_join import vector_topk
+from veralytics.operators.term_join import nearest_by_words
+from veralytics.operators.vector_join import is_bounded, nearest
 
 # Probes of a domain compared per row; longer lists are compared piece by piece.
 PROBE_CHUNK = 256
@@ -60,10 +61,9 @@ def best_probe(cases: DataFrame, probes: DataFrame, threshold: float = C.COVERAG
     ``cases`` (case_id, domain, embedding), ``probes`` (pos, domain, embedding); the first
     probe wins ties.
     """
-    near = vector_topk(
+    near = nearest(
         cases.select(F.col("case_id").alias("query_id"), "domain", "embedding"),
         probes.select(F.col("pos").alias("doc_id"), "domain", "embedding"),
-        1,
         "domain",
     )
     best = near.select(F.col("query_id").alias("case_id"), "domain", F.col("doc_id").alias("best_pos"), F.round("score", 4).alias("best_score"))
@@ -71,12 +71,21 @@ def best_probe(cases: DataFrame, probes: DataFrame, threshold: float = C.COVERAG
 
 
 def best_probe_text(cases: DataFrame, probes: DataFrame, threshold: float = C.COVERAGE_THRESHOLD) -> DataFrame:
-    """Nearest probe of the same domain per case, by word overlap.
+    """Nearest probe of the same domain per case, by word overlap; the first probe wins ties.
 
-    ``cases`` (domain, query, ...), ``probes`` (domain, pos, question). The probes of a domain
-    travel as lists of at most 256, compared inside the row of the case; only the best of
-    each list is kept.
+    ``cases`` (domain, query, ...), ``probes`` (domain, pos, question). Probe questions are
+    configuration and few: up to a bound they are sent to the tasks, which keep the cases
+    where they are. A longer list is compared piece by piece inside the row of the case.
     """
+    if is_bounded(probes):
+        anchors = probes.select("domain", "pos", "question", text.word_set(F.col("question")).alias("words")).toPandas()
+        asked = cases.withColumn("words", text.word_set(F.col("query")))
+        return _covered(nearest_by_words(asked, anchors, "domain").withColumn("best_score", F.round("best_score", 4)), threshold)
+    return _covered(_best_in_lists(cases, probes), threshold)
+
+
+def _best_in_lists(cases: DataFrame, probes: DataFrame) -> DataFrame:
+    """Probes as lists of at most 256 per domain; only the best of each list is kept per case."""
     item = F.struct("pos", "question", text.word_set(F.col("question")).alias("words"))
     lists = probes.groupBy("domain", F.floor(F.col("pos") / PROBE_CHUNK).alias("_chunk")).agg(
         F.array_sort(F.collect_list(item)).alias("_probes")
@@ -95,7 +104,7 @@ def best_probe_text(cases: DataFrame, probes: DataFrame, threshold: float = C.CO
         .agg(F.max("_best").alias("_best"))
         .select("domain", "query", F.col("_best.question").alias("best_probe"), F.round("_best.score", 4).alias("best_score"))
     )
-    return _covered(cases.join(best, ["domain", "query"], "left"), threshold)
+    return cases.join(best, ["domain", "query"], "left")
 
 
 def _covered(cases: DataFrame, threshold: float) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -13,9 +14,12 @@ from veralytics import dims
 from veralytics.functions import clock, text
 from veralytics.operators.contains_join import contains_join
 from veralytics.operators.medallion import gold_current
-from veralytics.operators.vector_join import vector_topk
+from veralytics.operators.term_join import bm25_topk, vocabulary_stats
+from veralytics.operators.vector_join import is_bounded, keep_best, vector_topk
 
 Moment = datetime | str
+# (query, term) rows that may be sent to the tasks.
+SENT_TERMS = 200_000
 
 # --- documents -------------------------------------------------------------------
 
@@ -183,8 +187,32 @@ def postings(docs: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
     return terms.repartition("doc_id").groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25_search(queries: DataFrame, index: DataFrame, stats: DataFrame, k: int) -> DataFrame:
-    """Top k documents per query by BM25 over the whole corpus.
+def bm25_search(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """Top k documents per query by BM25 over the whole corpus: (query_id, doc_id, score, rank).
+
+    A query set of bounded size is sent to the tasks that read the documents and only the
+    best k per query and task are exchanged. A larger set, or a stored index, goes through
+    ``bm25_index_search``.
+    """
+    terms = query_terms(queries)
+    if not (is_bounded(queries) and is_bounded(terms, SENT_TERMS)):
+        return bm25_index_search(queries, postings(docs, terms), corpus_stats(docs), k)
+    asked = terms.toPandas()  # at most SENT_TERMS rows
+    vocabulary = sorted(set(asked["term"]))
+    query_ids = np.sort(asked["query_id"].unique())
+    place = {term: i for i, term in enumerate(vocabulary)}
+    tokens = docs.select("doc_id", text.tokenize(F.col("text")).alias("tokens"))
+    frequency, documents, total = vocabulary_stats(tokens, vocabulary)
+    idf = np.log(1.0 + (documents - frequency + 0.5) / (frequency + 0.5))
+    weights = np.zeros((len(vocabulary), len(query_ids)))
+    rows = asked["term"].map(place).to_numpy()
+    weights[rows, np.searchsorted(query_ids, asked["query_id"])] = asked["qtf"].to_numpy() * idf[rows]
+    mean = total / documents if total else 1.0
+    return keep_best(bm25_topk(tokens, vocabulary, query_ids, weights, mean, k), k, [])
+
+
+def bm25_index_search(queries: DataFrame, index: DataFrame, stats: DataFrame, k: int) -> DataFrame:
+    """The same over an inverted index, for any number of queries.
 
     ``index`` comes from ``postings`` and ``stats`` from ``corpus_stats``. A document's rows
     are already together, so its scores are added up where they are; the rank filter then
@@ -201,8 +229,7 @@ def bm25_search(queries: DataFrame, index: DataFrame, stats: DataFrame, k: int)
         .withColumn("score", F.round("_score", 9))
         .drop("_score")
     )
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return keep_best(scored, k, [])
 
 
 def hybrid_search(

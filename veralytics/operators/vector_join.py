@@ -1,42 +1,51 @@
-"""Exact top-k by cosine similarity, without forming a row per pair.
+"""Exact nearest rows by cosine similarity, without forming a row per pair.
 
-Each task multiplies a block of document vectors with a block of query vectors and
-keeps only the best k per query, so what is shuffled is k rows per query and task.
-A query set of checked, bounded size is sent to every task and the documents are not
-moved at all. Beyond that bound queries and documents are both cut into blocks that
-meet pairwise, so no task ever holds an unbounded side, however large one collection is.
+Each task multiplies a block of stored vectors with a block of asked vectors and keeps
+only the best, so what is shuffled is k rows per query and task. A side of checked,
+bounded size is sent to every task and the other side is not moved at all. Beyond that
+bound both sides are cut into blocks that meet pairwise, so no task ever holds an
+unbounded side, however large one collection is.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-# Queries sent whole to every task: at most this many rows.
-QUERY_BLOCK = 2_048
+# The functions of this module travel to the tasks by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+# Rows of a side that is sent whole to every task: at most this many.
+SENT_ROWS = 2_048
 DOC_BLOCK = 65_536
 # Scores are ranked at twelve digits, so the order does not hang on how blocks were cut.
 RANK_DIGITS = 12
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
+def is_bounded(df: DataFrame, rows: int = SENT_ROWS) -> bool:
+    """Does the table have at most so many rows? Reads no further than that."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def unit(vectors: pd.Series) -> np.ndarray:
     matrix = np.array(vectors.tolist(), dtype=np.float64)
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
     return matrix / np.where(norms == 0.0, 1.0, norms)
 
 
-def _best(query_ids: np.ndarray, queries: np.ndarray, doc_ids: np.ndarray, docs: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best documents per query of one block pair; ties go to the smaller document id."""
-    scores = np.round(np.clip(queries @ docs.T, 0.0, 1.0), RANK_DIGITS)
+def best_of(query_ids: np.ndarray, doc_ids: np.ndarray, scores: np.ndarray, k: int) -> pd.DataFrame:
+    """The k best columns per row of a score matrix; ties go to the smaller document id."""
     n = scores.shape[1]
     rows, columns = [], []
-    floor = np.partition(scores, n - k, axis=1)[:, n - k] if n > k else np.full(len(queries), -1.0)
-    for i in range(len(queries)):
+    floor = np.partition(scores, n - k, axis=1)[:, n - k] if n > k else np.full(len(scores), -np.inf)
+    for i in range(len(scores)):
         candidates = np.flatnonzero(scores[i] >= floor[i])
         order = np.lexsort((doc_ids[candidates], -scores[i][candidates]))[:k]
         columns.append(candidates[order])
@@ -45,25 +54,69 @@ def _best(query_ids: np.ndarray, queries: np.ndarray, doc_ids: np.ndarray, docs:
     return pd.DataFrame({"query_id": query_ids[r], "doc_id": doc_ids[c], "score": scores[r, c]})
 
 
+def cosine(queries: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    return np.round(np.clip(queries @ docs.T, 0.0, 1.0), RANK_DIGITS)
+
+
+def merge_best(kept: pd.DataFrame | None, found: pd.DataFrame, k: int) -> pd.DataFrame:
+    if kept is None:
+        return found
+    both = pd.concat([kept, found]).sort_values(["score", "doc_id"], ascending=[False, True])
+    return both.groupby("query_id").head(k)
+
+
+def _typed(df: DataFrame, key: str, by: str) -> DataFrame:
+    return df.select(F.col(key).cast("bigint").alias(key), F.col(by).cast("string").alias(by), "embedding")
+
+
 def vector_topk(queries: DataFrame, docs: DataFrame, k: int, by: str) -> DataFrame:
     """Top k documents per (query_id, by) by cosine similarity clipped to 0..1.
 
     ``queries`` (query_id BIGINT, by STRING, embedding), ``docs`` (doc_id BIGINT, by STRING,
     embedding); only rows with the same ``by`` meet. Returns (query_id, by, doc_id, score, rank).
     """
-    asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), F.col(by).cast("string").alias(by), "embedding")
-    stored = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(by).cast("string").alias(by), "embedding")
-    bounded = asked.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK
-    local = _with_sent_queries(asked, stored, k, by) if bounded else _with_blocks(asked, stored, k, by)
-    best = W.partitionBy("query_id", by).orderBy(F.desc("score"), "doc_id")
+    asked, stored = _typed(queries, "query_id", by), _typed(docs, "doc_id", by)
+    local = _sent_queries(asked, stored, k, by) if is_bounded(asked) else _blocks(asked, stored, k, by)
+    return keep_best(local, k, [by])
+
+
+def keep_best(local: DataFrame, k: int, by: list[str]) -> DataFrame:
+    """The k best over all tasks; Spark applies the rank limit per task before the exchange too."""
+    best = W.partitionBy("query_id", *by).orderBy(F.desc("score"), "doc_id")
     return local.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def _with_sent_queries(asked: DataFrame, stored: DataFrame, k: int, by: str) -> DataFrame:
-    sent = asked.toPandas()  # at most QUERY_BLOCK rows, checked by the caller
-    groups = {
-        key: (rows["query_id"].to_numpy(), _unit(rows["embedding"])) for key, rows in sent.groupby(by)
-    }
+def nearest(rows: DataFrame, anchors: DataFrame, by: str) -> DataFrame:
+    """The best anchor of the same ``by`` for each row: (query_id, by, doc_id, score).
+
+    ``rows`` (query_id, by, embedding) may be any number; ``anchors`` (doc_id, by, embedding)
+    are few as a rule and then sent to the tasks, so that rows stay where they are.
+    """
+    asked, stored = _typed(rows, "query_id", by), _typed(anchors, "doc_id", by)
+    if not is_bounded(stored):
+        return keep_best(_blocks(asked, stored, 1, by), 1, [by]).drop("rank")
+    sent = stored.toPandas().sort_values("doc_id")  # at most SENT_ROWS rows
+    groups = {key: (part["doc_id"].to_numpy(), unit(part["embedding"])) for key, part in sent.groupby(by)}
+    known = rows.sparkSession.sparkContext.broadcast(groups)
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key, part in batch.groupby(by):
+                if key not in known.value:
+                    continue
+                ids, matrix = known.value[key]
+                scores = cosine(unit(part["embedding"]), matrix)
+                first = scores.argmax(axis=1)
+                yield pd.DataFrame(
+                    {"query_id": part["query_id"], "doc_id": ids[first], "score": scores[np.arange(len(first)), first], by: key}
+                )
+
+    return asked.mapInPandas(scan, f"query_id bigint, doc_id bigint, score double, {by} string")
+
+
+def _sent_queries(asked: DataFrame, stored: DataFrame, k: int, by: str) -> DataFrame:
+    sent = asked.toPandas()  # at most SENT_ROWS rows, checked by the caller
+    groups = {key: (rows["query_id"].to_numpy(), unit(rows["embedding"])) for key, rows in sent.groupby(by)}
     known = asked.sparkSession.sparkContext.broadcast(groups)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -73,19 +126,16 @@ def _with_sent_queries(asked: DataFrame, stored: DataFrame, k: int, by: str) ->
                 if key not in known.value:
                     continue
                 ids, matrix = known.value[key]
-                found = _best(ids, matrix, rows["doc_id"].to_numpy(), _unit(rows["embedding"]), k)
-                if key in kept:
-                    found = pd.concat([kept[key], found])
-                    found = found.sort_values(["score", "doc_id"], ascending=[False, True]).groupby("query_id").head(k)
-                kept[key] = found
+                found = best_of(ids, rows["doc_id"].to_numpy(), cosine(matrix, unit(rows["embedding"])), k)
+                kept[key] = merge_best(kept.get(key), found, k)
         for key, found in kept.items():
             yield found.assign(**{by: key})
 
     return stored.mapInPandas(scan, f"query_id bigint, doc_id bigint, score double, {by} string")
 
 
-def _with_blocks(asked: DataFrame, stored: DataFrame, k: int, by: str) -> DataFrame:
-    query_blocks = -(-asked.count() // QUERY_BLOCK)
+def _blocks(asked: DataFrame, stored: DataFrame, k: int, by: str) -> DataFrame:
+    query_blocks = max(1, -(-asked.count() // SENT_ROWS))
     doc_blocks = max(1, -(-stored.count() // DOC_BLOCK))
 
     def block(df: DataFrame, name: str, key: str, n: int, other: str, copies: int) -> DataFrame:
@@ -99,8 +149,8 @@ def _with_blocks(asked: DataFrame, stored: DataFrame, k: int, by: str) -> DataFr
     def meet(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         if q.empty or d.empty:
             return pd.DataFrame({"query_id": [], "doc_id": [], "score": [], by: []})
-        found = _best(q["query_id"].to_numpy(), _unit(q["embedding"]), d["doc_id"].to_numpy(), _unit(d["embedding"]), k)
-        return found.assign(**{by: q[by].iloc[0]})
+        scores = cosine(unit(q["embedding"]), unit(d["embedding"]))
+        return best_of(q["query_id"].to_numpy(), d["doc_id"].to_numpy(), scores, k).assign(**{by: q[by].iloc[0]})
 
     keys = [by, "_q", "_d"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(

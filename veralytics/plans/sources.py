@@ -88,10 +88,9 @@ def _(t: Tables) -> DataFrame:
         uid.alias("unique_id"), "status", F.lit(1.5).alias("execution_time"), F.struct("rows_affected").alias("adapter_response"), F.lit("ok").alias("message")
     )
     artifacts = t["fx_runs"].select(F.struct(stamp.alias("generated_at")).alias("metadata"), F.array(result).alias("results"))
-    # An artifact file is one document; each task writes its documents as one file of lines.
     artifacts.write.json(folder)
     models = t.domains.filter(F.col("dbt_model") != "fct_drug_formulary").select("dbt_model")
-    return readers.run_results_ingest(t.spark, folder, models).select(
+    return readers.run_results_ingest(t.spark, folder, models, per_line=True).select(
         "run_id", "dbt_model", "run_timestamp", "status", "rows_affected", "schema_version"
     )
 

@@ -102,13 +102,14 @@ def event_log_stream(spark: SparkSession, path: str, files_per_batch: int | None
     return _events(reader.option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
 
 
-def run_results_ingest(spark: SparkSession, path: str, models: DataFrame) -> DataFrame:
+def run_results_ingest(spark: SparkSession, path: str, models: DataFrame, per_line: bool = False) -> DataFrame:
     """Run artifacts as run rows, for the models whose name ends the result's id.
 
+    An artifact is one JSON document per file, or one per line with ``per_line``.
     ``models`` (dbt_model) is the pipeline map. The ids are matched by their ends of the
     lengths that occur among the names, which makes an equi-join of it.
     """
-    raw = spark.read.schema(schemas.RUN_RESULTS).option("multiLine", True).json(path)
+    raw = spark.read.schema(schemas.RUN_RESULTS).option("multiLine", not per_line).json(path)
     results = raw.select(F.col("metadata.generated_at").alias("_at"), F.explode("results").alias("r"))
     names = models.select("dbt_model").distinct()
     lengths = names.agg(F.collect_set(F.length("dbt_model"))).scalar()

@@ -7,9 +7,11 @@ the query's progress (``late_rows``).
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -21,6 +23,9 @@ from veralytics.operators.events import critical_escalation, industry_of, queue_
 from veralytics.operators.medallion import gold_current
 from veralytics.operators.schedule import digest_subject, notify_filter
 
+# The state function of this module travels to the tasks by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 WATERMARK = "1 hour"
 LINK_SALT = 16
 
