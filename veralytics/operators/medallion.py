@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from veralytics import config as C
 from veralytics.functions import clock, text
 from veralytics.operators.contains_join import contains_join
+from veralytics.session import cut_lineage
 
 TRUTHY = ("true", "1", "yes")
 
@@ -143,14 +144,18 @@ def entity_lookup(gold: DataFrame, requests: DataFrame) -> DataFrame:
 
     Among several rows the highest version wins, then the smallest entity name.
     """
-    current = gold_current(gold).withColumn("_name", F.lower("entity"))
+    found = gold_current(gold).withColumn("_name", F.lower("entity")).withColumnRenamed("entity", "gold_entity")
     rank = F.struct(-F.col("version"), F.col("gold_entity"))
-    found = current.withColumnRenamed("entity", "gold_entity")
     row = F.struct(*[F.col(c) for c in found.columns if c not in ("domain", "_name")])
-    exact_rows = found.groupBy("domain", "_name").agg(F.min_by(row, rank).alias("_gold"))
 
     asked = requests.select("domain", F.lower("entity").alias("_needle")).distinct()
-    exact = asked.join(exact_rows.withColumnRenamed("_name", "_needle"), ["domain", "_needle"], "left")
+    same_name = (
+        asked.join(found.withColumn("_needle", F.col("_name")), ["domain", "_needle"])
+        .groupBy("domain", "_needle")
+        .agg(F.min_by(row, rank).alias("_gold"))
+    )
+    # One row per distinct request; read several times below, so it is computed once.
+    exact = cut_lineage(asked.join(same_name, ["domain", "_needle"], "left"))
     missed = exact.filter(F.col("_gold").isNull()).select("domain", "_needle")
     partial = (
         contains_join(missed, found, "domain", "_needle", "_name")

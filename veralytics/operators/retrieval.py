@@ -16,6 +16,7 @@ from veralytics.operators.contains_join import contains_join
 from veralytics.operators.medallion import gold_current
 from veralytics.operators.term_join import bm25_topk, vocabulary_stats
 from veralytics.operators.vector_join import is_bounded, keep_best, vector_topk
+from veralytics.session import cut_lineage
 
 Moment = datetime | str
 # (query, term) rows that may be sent to the tasks.
@@ -135,35 +136,30 @@ def query_terms(queries: DataFrame) -> DataFrame:
     )
 
 
-def bm25_scores(candidates: DataFrame) -> DataFrame:
-    """Okapi BM25 (k1 = 1.5, b = 0.75) of the candidates of each query, divided by the query's best.
+def bm25_scores(pairs: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """Okapi BM25 (k1 = 1.5, b = 0.75) of each query's candidates, divided by the query's best.
 
-    ``candidates`` (query_id, query, doc_id, text). Collection statistics are those of the
-    query's own candidates. The inverse document frequency is the always-positive form.
+    ``pairs`` (query_id, doc_id) are the candidates, ``docs`` (doc_id, text), ``queries``
+    (query_id, query). Collection statistics are those of the query's own candidates. The
+    inverse document frequency is the always-positive form. A document is cut into tokens
+    once, however many queries it is a candidate of.
     """
-    cut = candidates.select(
-        "query_id", "doc_id", text.tokenize(F.col("text")).alias("_tokens"), F.array_distinct(text.tokenize(F.col("query"))).alias("_asked")
-    ).withColumn("_length", F.size("_tokens"))
-    stats = cut.groupBy("query_id").agg(F.count("*").alias("_n"), F.avg("_length").alias("_mean"))
-    tf = (
-        cut.select("query_id", "doc_id", "_length", F.explode(F.filter("_tokens", lambda x: F.array_contains("_asked", x))).alias("term"))
-        .groupBy("query_id", "doc_id", "_length", "term")
-        .agg(F.count("*").alias("_tf"))
-    )
+    terms = query_terms(queries)
+    wanted = docs.select("doc_id", "text").join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
+    lengths = wanted.select("doc_id", F.size(text.tokenize(F.col("text"))).alias("_length"))
+    stats = pairs.join(lengths, "doc_id").groupBy("query_id").agg(F.count("*").alias("_n"), F.avg("_length").alias("_mean"))
+    tf = pairs.join(postings(wanted, terms), "doc_id").join(terms, ["query_id", "term"])
     df = tf.groupBy("query_id", "term").agg(F.count("*").alias("_df"))
-    asked = query_terms(candidates.select("query_id", "query").distinct())
-    weighted = (
-        tf.join(df.join(asked, ["query_id", "term"]).join(stats, "query_id"), ["query_id", "term"])
-        .withColumn(
-            "_w", F.col("qtf") * _idf(F.col("_n"), F.col("_df")) * _term_weight(F.col("_tf"), F.col("_length"), F.col("_mean"))
-        )
+    weight = F.col("qtf") * _idf(F.col("_n"), F.col("_df")) * _term_weight(F.col("tf"), F.col("length"), F.col("_mean"))
+    raw = (
+        tf.join(df.join(stats, "query_id"), ["query_id", "term"])
         .groupBy("query_id", "doc_id")
-        .agg(F.sum("_w").alias("_raw"))
+        .agg(F.sum(weight).alias("_raw"))
     )
-    best = weighted.groupBy("query_id").agg(F.max("_raw").alias("_max"))
-    scored = weighted.join(best, "query_id").select("query_id", "doc_id", (F.col("_raw") / F.col("_max")).alias("bm25_score"))
+    best = raw.groupBy("query_id").agg(F.max("_raw").alias("_max"))
+    scored = raw.join(best, "query_id").select("query_id", "doc_id", (F.col("_raw") / F.col("_max")).alias("bm25_score"))
     return (
-        candidates.select("query_id", "doc_id")
+        pairs.select("query_id", "doc_id")
         .join(scored, ["query_id", "doc_id"], "left")
         .withColumn("bm25_score", F.coalesce("bm25_score", F.lit(0.0)))
     )
@@ -249,11 +245,12 @@ def hybrid_search(
         targets.select(F.col("request_id").alias("query_id"), "collection"), "query_id"
     )
     stored = docs.withColumn("collection", F.concat_ws("_", "layer", "domain"))
-    dense = dense_topk(asked, stored, 2 * k).select("query_id", "doc_id", F.col("score").alias("_dense"))
-    candidates = dense.join(docs.drop("embedding"), "doc_id").join(queries.select("query_id", "query"), "query_id")
-    lexical = bm25_scores(candidates.select("query_id", "query", "doc_id", "text"))
+    # A few rows per query and collection, read several times by the re-ranking: computed once.
+    dense = cut_lineage(dense_topk(asked, stored, 2 * k).select("query_id", "doc_id", F.col("score").alias("_dense")))
+    lexical = bm25_scores(dense.select("query_id", "doc_id"), docs, queries.select("query_id", "query"))
+    about = docs.select("doc_id", "domain", "layer", "entity", "value", "boost")
     combined = (F.col("_dense") * dense_weight + F.col("bm25_score") * bm25_weight) * F.coalesce("boost", F.lit(1.0))
-    scored = candidates.join(lexical, ["query_id", "doc_id"]).withColumn("_combined", F.round(combined, 9))
+    scored = dense.join(lexical, ["query_id", "doc_id"]).join(about, "doc_id").withColumn("_combined", F.round(combined, 9))
     row = F.struct("doc_id", "value", "layer", "_dense", "bm25_score", "_combined")
     best = scored.groupBy("query_id", "domain", "entity").agg(
         F.max_by(row, F.struct(F.col("_combined"), -F.col("doc_id"))).alias("_b")

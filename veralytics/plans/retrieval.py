@@ -9,6 +9,7 @@ from veralytics.functions import text
 from veralytics.operators import retrieval as X
 from veralytics.plans.medallion import _silver
 from veralytics.plans.registry import query
+from veralytics.session import cut_lineage
 from veralytics.sources.fixtures import AS_OF, ORACLE_PARTS, Tables
 
 _COS = "list_cosine_similarity(CAST({a}.embedding AS DOUBLE[]), CAST({b}.embedding AS DOUBLE[]))"
@@ -142,8 +143,8 @@ SELECT k.query_id, k.doc_id, coalesce(s / max(s) OVER (PARTITION BY k.query_id),
 
 @query("bm25_scores", "SELECT query_id, doc_id, round(bm25, 6) AS bm25_score FROM {ox_bm25}")
 def _(t: Tables) -> DataFrame:
-    found = dense(t).join(asked(t).select("query_id", "query"), "query_id").join(t["fx_docs"].select("doc_id", "text"), "doc_id")
-    return X.bm25_scores(found.select("query_id", "query", "doc_id", "text")).withColumn("bm25_score", F.round("bm25_score", 6))
+    pairs = cut_lineage(dense(t).select("query_id", "doc_id"))
+    return X.bm25_scores(pairs, t["fx_docs"], asked(t)).withColumn("bm25_score", F.round("bm25_score", 6))
 
 
 _BM25 = f"""
