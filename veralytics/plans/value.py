@@ -28,8 +28,8 @@ SELECT *, round(financial_exposure_usd * 0.65, 2) AS recovery_potential_usd FROM
   FROM {ox_counts} JOIN {fx_domains} USING (domain))
 """
 _RECOVERY = """
-SELECT {key} decisions_before, decisions_after, round(b, 2) AS avg_value_before, round(a, 2) AS avg_value_after, round(a - b, 2) AS value_delta,
-  greatest(round((a - b) * decisions_after, 2), 0) AS total_recovery_usd, greatest(round(round((a - b) * decisions_after, 2) / 5000, 2), 0) AS roi_multiplier
+SELECT {key} decisions_before, decisions_after, round(b, 2) AS avg_value_before, round(a, 2) AS avg_value_after, round(a - b, 2) + 0 AS value_delta,
+  greatest(round((a - b) * decisions_after, 2), 0) + 0 AS total_recovery_usd, greatest(round(round((a - b) * decisions_after, 2) / 5000, 2), 0) + 0 AS roi_multiplier
 FROM (SELECT {key} count(*) FILTER (NOT correction_applied) AS decisions_before, count(*) FILTER (correction_applied) AS decisions_after,
   coalesce(CAST(sum(value_cents) FILTER (NOT correction_applied) AS DOUBLE) / 100 / nullif(count(*) FILTER (NOT correction_applied), 0), 0) AS b,
   coalesce(CAST(sum(value_cents) FILTER (correction_applied) AS DOUBLE) / 100 / nullif(count(*) FILTER (correction_applied), 0), 0) AS a
