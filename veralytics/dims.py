@@ -2,17 +2,41 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veralytics import config as C
 
 
+def fixed(spark: SparkSession, rows: Iterable[tuple], schema: str) -> DataFrame:
+    """Fixed rows as a table whose size Spark knows, so that it is broadcast without a hint.
+
+    A table made from Python rows has no known size: joining the event log with it would
+    shuffle the whole log.
+    """
+    fields = T.StructType.fromDDL(schema).fields
+
+    def literal(value: object) -> str:
+        if isinstance(value, bool):
+            return str(value).lower()
+        if isinstance(value, str):
+            return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        if isinstance(value, list):
+            return "array(" + ", ".join(map(literal, value)) + ")"
+        return repr(value)
+
+    names = ", ".join(f.name for f in fields)
+    values = ", ".join("(" + ", ".join(map(literal, row)) + ")" for row in rows)
+    table = spark.sql(f"SELECT * FROM VALUES {values} AS t({names})")
+    return table.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
+
+
 def pairs(spark: SparkSession, values: Mapping, key: str, value: str, value_type: str = "string") -> DataFrame:
     """A fixed mapping as a two-column table."""
-    return spark.createDataFrame(list(values.items()), f"{key} string, {value} {value_type}")
+    return fixed(spark, values.items(), f"{key} string, {value} {value_type}")
 
 
 def wrong_rates(spark: SparkSession) -> DataFrame:
@@ -44,14 +68,15 @@ def event_labels(spark: SparkSession) -> DataFrame:
 
 
 def routes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        C.ROUTES, "error_type string, routing_action string, auto_executable boolean, approval string"
+    return fixed(
+        spark, C.ROUTES, "error_type string, routing_action string, auto_executable boolean, approval string"
     )
 
 
 def remediation_options(spark: SparkSession) -> DataFrame:
     """One row per failure class with its ordered options."""
-    flat = spark.createDataFrame(
+    flat = fixed(
+        spark,
         C.REMEDIATION_OPTIONS,
         "failure_type string, pos int, action string, description string, estimated_minutes int, "
         "risk_level string, auto_executable boolean",
@@ -64,4 +89,4 @@ def remediation_options(spark: SparkSession) -> DataFrame:
 
 
 def layer_map(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(C.LAYER_COLLECTIONS.items()), "layer string, layers array<string>")
+    return fixed(spark, C.LAYER_COLLECTIONS.items(), "layer string, layers array<string>")

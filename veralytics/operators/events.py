@@ -112,7 +112,7 @@ def chain_narrative(events: DataFrame, as_of: Moment, hours: int = 24) -> DataFr
         .otherwise(F.lit(""))
     )
     labelled = _since(events, as_of, hours).join(
-        F.broadcast(dims.event_labels(events.sparkSession)), "event_type", "left"
+        dims.event_labels(events.sparkSession), "event_type", "left"
     )
     clock_time = F.substring(F.col("event_ts").cast("string"), 12, 5)
     line = F.concat(F.lit("  "), clock_time, F.lit(" UTC — "), F.coalesce("label", "event_type"), detail)
@@ -140,9 +140,8 @@ def stack_health(events: DataFrame, queue: DataFrame, as_of: Moment, lead: str =
     waiting = queue.filter(F.col("status") == "pending").agg(
         F.count("*").alias("all"), F.count_if(module == "PP").alias("remediations")
     )
-    totals = totals.withColumn("pending", waiting.select("all").scalar()).withColumn(
-        "remediations", waiting.select("remediations").scalar()
-    )
+    counted = waiting.select(F.struct("all", "remediations")).scalar()
+    totals = totals.withColumn("_w", counted).select("*", F.col("_w.all").alias("pending"), F.col("_w.remediations").alias("remediations"))
     lead_status = "OK" if lead else "WARNING"
     return totals.selectExpr(
         f"""stack(10,

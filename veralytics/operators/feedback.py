@@ -73,7 +73,7 @@ def route_correction(
     signals: DataFrame, auto_propagate: bool = False, retrain_threshold: int = C.RETRAIN_THRESHOLD
 ) -> DataFrame:
     """Error class, action, approval need, boost and fine-tune flag per signal."""
-    table = F.broadcast(dims.routes(signals.sparkSession))
+    table = dims.routes(signals.sparkSession)
     needs = (F.col("approval") == "always") | ((F.col("approval") == "unless_auto") & F.lit(not auto_propagate))
     error = F.col("error_type")
     classed = signals.withColumn("error_type", classify_error(F.col("wrong_value"), F.col("correct_value")))

@@ -80,7 +80,7 @@ def layer_resolve(requests: DataFrame, existing: DataFrame) -> DataFrame:
     Silver also searches gold, ``all`` searches gold, silver and bronze; any other name
     stands for itself. A request without domain searches every domain.
     """
-    listed = F.broadcast(dims.layer_map(requests.sparkSession).withColumnRenamed("layer", "_asked"))
+    listed = dims.layer_map(requests.sparkSession).withColumnRenamed("layer", "_asked")
     wanted = requests.join(listed, F.col("layer") == F.col("_asked"), "left").select(
         "request_id", "domain", F.explode(F.coalesce("layers", F.array("layer"))).alias("layer")
     )
@@ -148,7 +148,8 @@ def bm25_scores(pairs: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFr
     wanted = docs.select("doc_id", "text").join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
     lengths = wanted.select("doc_id", F.size(text.tokenize(F.col("text"))).alias("_length"))
     stats = pairs.join(lengths, "doc_id").groupBy("query_id").agg(F.count("*").alias("_n"), F.avg("_length").alias("_mean"))
-    tf = pairs.join(postings(wanted, terms), "doc_id").join(terms, ["query_id", "term"])
+    # Term counts of the candidates: small next to the texts and read several times, so made once.
+    tf = cut_lineage(pairs.join(postings(wanted, terms), "doc_id").join(terms, ["query_id", "term"]))
     df = tf.groupBy("query_id", "term").agg(F.count("*").alias("_df"))
     weight = F.col("qtf") * _idf(F.col("_n"), F.col("_df")) * _term_weight(F.col("tf"), F.col("length"), F.col("_mean"))
     raw = (
@@ -216,7 +217,8 @@ def bm25_index_search(queries: DataFrame, index: DataFrame, stats: DataFrame, k:
     """
     terms = query_terms(queries)
     frequency = index.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("_df"))
-    documents, mean = stats.select("documents").scalar(), stats.select("mean_length").scalar()
+    corpus = stats.select(F.struct("documents", "mean_length")).scalar()
+    documents, mean = corpus["documents"], corpus["mean_length"]
     asked = terms.join(frequency, "term").select("query_id", "term", (F.col("qtf") * _idf(documents, F.col("_df"))).alias("_weight"))
     scored = (
         index.join(asked, "term")

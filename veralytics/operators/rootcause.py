@@ -96,7 +96,7 @@ def detect_failure(runs: DataFrame, as_of: Moment, lookback_days: int = C.LOOKBA
 
 def remediation_options(classes: DataFrame) -> DataFrame:
     """Options of each failure class; an unlisted class gets those of unknown."""
-    options = F.broadcast(dims.remediation_options(classes.sparkSession).withColumnRenamed("failure_type", "_class"))
+    options = dims.remediation_options(classes.sparkSession).withColumnRenamed("failure_type", "_class")
     listed = sorted({row[0] for row in C.REMEDIATION_OPTIONS})
     key = F.when(F.col("failure_type").isin(*listed), F.col("failure_type")).otherwise(F.lit("unknown"))
     return classes.withColumn("_class", key).join(options, "_class").drop("_class")

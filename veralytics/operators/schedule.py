@@ -19,7 +19,7 @@ Moment = datetime | str
 
 def _timed(schedule: DataFrame, state: DataFrame, as_of: Moment) -> DataFrame:
     """Schedule rows with interval and elapsed seconds; either may be null."""
-    intervals = F.broadcast(dims.schedules(schedule.sparkSession))
+    intervals = dims.schedules(schedule.sparkSession)
     elapsed = clock.micros_between(F.col("last_run"), clock.moment(as_of)) / 1e6
     return schedule.join(state, "domain_key", "left").join(intervals, "schedule", "left").withColumn("_elapsed", elapsed)
 

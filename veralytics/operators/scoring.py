@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from veralytics import config as C
+from veralytics.dims import fixed
 from veralytics.functions import clock, text
 from veralytics.functions.numbers import extract_number
 from veralytics.operators.medallion import entity_lookup, gold_current
@@ -449,7 +450,8 @@ def remediation_plan(scores: DataFrame) -> DataFrame:
     """Action, effort, hours, priority and ready-to-use text per score."""
     level = F.col("staleness_level")
     plan_key = F.when(level.isin("CRITICAL", "STALE"), level).otherwise(F.lit("MONITOR"))
-    templates = scores.sparkSession.createDataFrame(
+    templates = fixed(
+        scores.sparkSession,
         PLAN_TEMPLATES,
         "plan_key string, primary_action string, effort_level string, estimated_hours int, priority int, _text string",
     )
@@ -463,7 +465,7 @@ def remediation_plan(scores: DataFrame) -> DataFrame:
     ).otherwise(F.format_string(PLAN_TEMPLATES[2][5], "entity", "domain", "warehouse_truth", day))
     return (
         scores.withColumn("plan_key", plan_key)
-        .join(F.broadcast(templates), "plan_key")
+        .join(templates, "plan_key")
         .withColumn("snippet", snippet)
         .withColumn("entity_slug", F.regexp_replace(F.lower("entity"), "[ -]", "_"))
         .drop("plan_key", "_text")

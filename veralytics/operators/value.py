@@ -70,7 +70,7 @@ def decisions_by_type(decisions: DataFrame, as_of: Moment, days: int = 30) -> Da
 
 def risk_category(domains: DataFrame) -> DataFrame:
     """Regulatory class of each domain; Limited when unlisted."""
-    classes = F.broadcast(dims.risk_categories(domains.sparkSession).withColumnRenamed("risk_category", "_class"))
+    classes = dims.risk_categories(domains.sparkSession).withColumnRenamed("risk_category", "_class")
     return (
         domains.drop("risk_category")
         .join(classes, "domain", "left")

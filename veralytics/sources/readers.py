@@ -156,7 +156,7 @@ def profiles_from_yaml(spark: SparkSession, documents: list[str]) -> DataFrame:
     except ImportError as error:
         raise RuntimeError("reading YAML profiles needs a YAML parser; use JSON profiles instead") from error
     parsed = [(json.dumps(yaml.safe_load(d)),) for d in documents]
-    schema = T._parse_datatype_string(schemas.PROFILE) if isinstance(schemas.PROFILE, str) else schemas.PROFILE
+    schema = T.StructType.fromDDL(schemas.PROFILE)
     rows = spark.createDataFrame(parsed, "doc string").select(F.from_json("doc", schema).alias("_p")).select("_p.*")
     return profile_rows(rows.filter(F.col("company.id").isNotNull()))
 

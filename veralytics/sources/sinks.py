@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 def conform(df: DataFrame, schema: str) -> DataFrame:
     """The columns of ``schema`` in order; missing ones become null, others are dropped."""
-    fields = T._parse_datatype_string(schema).fields
+    fields = T.StructType.fromDDL(schema).fields
     present = set(df.columns)
     return df.select(
         *[(F.col(f.name) if f.name in present else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]
