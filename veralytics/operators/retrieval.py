@@ -15,7 +15,7 @@ from veralytics.functions import clock, text
 from veralytics.operators.contains_join import contains_join
 from veralytics.operators.medallion import gold_current
 from veralytics.operators.term_join import bm25_topk, vocabulary_stats
-from veralytics.operators.vector_join import is_bounded, keep_best, vector_topk
+from veralytics.operators.vector_join import is_bounded, keep_best, sent_if_small, vector_topk
 from veralytics.session import cut_lineage
 
 Moment = datetime | str
@@ -179,7 +179,7 @@ def postings(docs: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
     cut = docs.select("doc_id", text.tokenize(F.col("text")).alias("_tokens"))
     terms = cut.select("doc_id", F.size("_tokens").alias("length"), F.explode("_tokens").alias("term"))
     if vocabulary is not None:
-        terms = terms.join(vocabulary.select("term").distinct(), "term", "left_semi")
+        terms = terms.join(sent_if_small(vocabulary.select("term").distinct(), SENT_TERMS), "term", "left_semi")
     # Hash by document once: this grouping and the scoring by (document, query) both keep it.
     return terms.repartition("doc_id").groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
 

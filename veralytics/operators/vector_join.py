@@ -34,6 +34,15 @@ def is_bounded(df: DataFrame, rows: int = SENT_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def sent_if_small(df: DataFrame, rows: int) -> DataFrame:
+    """Mark a join side to be broadcast when it has at most so many rows, else leave it to Spark.
+
+    Size estimates of exploded or grouped tables are far too high, and a shuffle join would
+    then move the big side by a key as skewed as words are.
+    """
+    return F.broadcast(df) if is_bounded(df, rows) else df
+
+
 def unit(vectors: pd.Series) -> np.ndarray:
     matrix = np.array(vectors.tolist(), dtype=np.float64)
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
