@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veralytics.llm import chat, mixing, pii, quality_gam, quality_rules, url_filter, vector_topk
+from veralytics.llm import chat, mixing, pii, quality_gam, quality_rules, sentencepiece, url_filter, vector_topk
 from veralytics.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,5 +59,10 @@ def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymized(table(spark, sf_dir, "documents"))
 
 
+@query
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece.encode(table(spark, sf_dir, "documents"))
+
+
 ORACLES["op6_exact_topk"] = vector_topk.ORACLE
 ORACLES["op8_chat_format"] = chat.ORACLE
