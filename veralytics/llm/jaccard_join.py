@@ -6,12 +6,16 @@ pivots are chosen where they say something: two linked sets share one of their
 rarest shingles (by any one order of shingles), and the sets that share such a
 shingle form a region around its smallest member, the pivot.
 
-Inside a region only pairs whose distances to the pivot differ by no more than
-the threshold can be linked. A region of bounded size is solved in one task. A
+Most sets of a region are far apart. Counts of a set's shingles by hash, a small
+fraction of its size, bound the distance of two sets from below; sets that this
+bound leaves near each other form a family, and a family's sets are read once.
+
+Inside a family only pairs whose distances to its pivot differ by no more than
+the threshold can be linked. A family of bounded size is solved in one task. A
 larger one is joined again and again with further pivots: sets linked with a
 pivot fall into its component and need no comparison with each other; those
-outside the region's largest component are left, choose the next pivots, and in
-the end meet the region's other sets block by block, where a set is copied to a
+outside the family's largest component are left, choose the next pivots, and in
+the end meet the family's other sets block by block, where a set is copied to a
 block only if its distances to all pivots allow a link (triangle inequality).
 """
 
@@ -33,8 +37,10 @@ from veralytics.llm.shingles import fingerprint, shingle_sets
 WORDS, PERCENT = 3, 90
 # Counts by hash that order the shingles; every task holds 2**COUNT_BITS of them.
 COUNT_BITS, COUNT_PARTS = 18, 64
-# Sets of a region, or of one side of two blocks, that one task compares.
-BLOCK = 512
+# Sets of a family, or of one side of two blocks, that one task compares; counts of a region that one task compares.
+BLOCK, REGION = 512, 2048
+# A set's shingles are counted in 2**k buckets that hold this many of them at least on average.
+PER_BUCKET = 4
 ROUNDS = 4
 COLUMNS = 8192
 
@@ -73,6 +79,49 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return out.astype(np.int64)
 
 
+def sketch(own: np.ndarray) -> np.ndarray:
+    """Numbers of a set's shingles by the first bits of their hashes, 255 at most."""
+    k = max(0, len(own) // PER_BUCKET).bit_length() - 1
+    if k <= 0:
+        return np.array([min(len(own), 255)], np.uint8)
+    return np.minimum(np.bincount((own >> np.uint64(64 - k)).astype(np.int64), minlength=2**k), 255).astype(np.uint8)
+
+
+def near_pairs(region: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
+    """Spanning links of the pairs that sizes and sketches leave possible.
+
+    The distance of two sketches is no more than the size of the sets' symmetric
+    difference; a finer sketch is added up to the coarser one's buckets first.
+    """
+    region = region.sort_values(["n_shingles", "node"])
+    nodes, size = region["node"].to_numpy(), region["n_shingles"].to_numpy()
+    fine = [np.frombuffer(s, np.uint8).astype(np.int32) for s in region["sketch"]]
+    level = np.array([len(s) for s in fine])
+    group, out, stacked = np.arange(len(nodes)), [], {}
+
+    def at(k: int) -> np.ndarray:
+        """All sketches of at least ``k`` buckets, with ``k`` buckets; those of fewer buckets as zeros."""
+        if k not in stacked:
+            rows = [s.reshape(k, -1).sum(1) if len(s) >= k else np.zeros(k, np.int32) for s in fine]
+            stacked[k] = np.stack(rows)
+        return stacked[k]
+
+    for i in range(len(nodes) - 1):
+        end = np.searchsorted(size, size[i] * 100 // percent, side="right")
+        if end <= i + 1:
+            continue
+        others = i + 1 + np.flatnonzero(group[i + 1 : end] != group[i])
+        if not len(others):
+            continue
+        own = at(int(level[i:end].min()))
+        gap = np.abs(own[others] - own[i]).sum(1)
+        for j in others[linked((size[others] + size[i] - gap) // 2, size[i], size[others], percent)]:
+            if group[j] != group[i]:
+                group[group == group[j]] = group[i]
+                out.append((nodes[i], nodes[j]))
+    return out
+
+
 class Forest:
     """Components inside one task."""
 
@@ -95,8 +144,8 @@ def _sets(column) -> list[np.ndarray]:
     return [np.frombuffer(s, np.uint64) for s in column]
 
 
-def solve_region(region: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
-    """Links that span the components of a region; its pivot is the smallest node."""
+def solve_family(region: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
+    """Links that span the components of a family; its pivot is the smallest node."""
     nodes, sets = region["node"].to_numpy(), _sets(region["shingles"])
     size = np.array([len(s) for s in sets])
     pivot = int(np.argmin(nodes))
@@ -122,6 +171,11 @@ def _pairs(rows) -> pd.DataFrame:
     return pd.DataFrame({"a": [int(a) for a, _ in rows], "b": [int(b) for _, b in rows]}, dtype=np.int64)
 
 
+def _spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """As many partitions as the cluster's setting says: these rows cost time, not bytes, so they are not put together."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 class Join:
     """The join of one table of documents (doc_id, text)."""
 
@@ -131,7 +185,7 @@ class Join:
         self.named, self.counts = self._names()
 
     def _names(self) -> tuple[DataFrame, np.ndarray]:
-        """doc_id, n_shingles and node (the set's name) of all rows, and the counts that order the shingles."""
+        """doc_id, n_shingles, node (the set's name) and sketch of all rows, and the counts that order the shingles."""
         words, step = self.words, 2**COUNT_BITS // COUNT_PARTS
 
         def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -143,20 +197,23 @@ class Join:
                 counts += np.bincount(_bucket(np.concatenate(sets)), minlength=len(counts))
                 node = pd.array([fingerprint(own) if len(own) else None for own in sets], "Int64")
                 size = [len(own) for own in sets]
-                yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": size, "node": node, "part": None, "counts": None})
+                marks = [sketch(own).tobytes() for own in sets]
+                yield pd.DataFrame(
+                    {"doc_id": batch["doc_id"], "n_shingles": size, "node": node, "sketch": marks, "part": None, "counts": None}
+                )
             parts = [counts[i * step : (i + 1) * step].tobytes() for i in range(COUNT_PARTS)]
-            yield pd.DataFrame({"doc_id": None, "n_shingles": None, "node": None, "part": range(COUNT_PARTS), "counts": parts})
+            yield pd.DataFrame({"doc_id": None, "n_shingles": None, "node": None, "sketch": None, "part": range(COUNT_PARTS), "counts": parts})
 
         def total(key, rows: pd.DataFrame) -> pd.DataFrame:
             sums = np.sum([np.frombuffer(b, np.int64) for b in rows["counts"]], axis=0)
             return pd.DataFrame({"part": [key[0]], "counts": [sums.tobytes()]})
 
-        both = kept(self.docs.mapInPandas(name, "doc_id long, n_shingles long, node long, part int, counts binary"))
+        both = kept(self.docs.mapInPandas(name, "doc_id long, n_shingles long, node long, sketch binary, part int, counts binary"))
         rows = both.where("part IS NOT NULL").groupBy("part").applyInPandas(total, "part int, counts binary").collect()
         counts = np.zeros((COUNT_PARTS, step), np.int64)
         for r in rows:  # COUNT_PARTS rows of fixed size
             counts[r["part"]] = np.frombuffer(r["counts"], np.int64)
-        return both.where("part IS NULL").select("doc_id", "n_shingles", "node"), counts.ravel()
+        return both.where("part IS NULL").drop("part", "counts"), counts.ravel()
 
     def _regions(self) -> DataFrame:
         """(lead, node): the sets that share a shingle of their prefixes with the pivot ``lead``, itself included."""
@@ -182,6 +239,20 @@ class Join:
         shared = tokens.groupBy("token").agg(F.min("node").alias("lead"), F.max("node").alias("top")).where("lead < top")
         return kept(tokens.join(shared.select("token", "lead"), "token").select("lead", "node").distinct())
 
+    def _families(self) -> DataFrame:
+        """(lead, node): families of sets that may be near each other, named by their smallest member."""
+        percent, regions = self.percent, self._regions()
+        sketches = self.named.groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+        size = kept(regions.groupBy("lead").agg(F.count("*").alias("size")))
+
+        def near(region: pd.DataFrame) -> pd.DataFrame:
+            return _pairs(near_pairs(region, percent))
+
+        rows = regions.join(size.where(F.col("size") <= REGION).select("lead"), "lead").join(sketches, "node")
+        large = regions.join(size.where(F.col("size") > REGION).select("lead"), "lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+        parts = components(_spread(rows, "lead").groupBy("lead").applyInPandas(near, "a long, b long").union(large))
+        return kept(parts.select(F.col("component").alias("lead"), "node"))
+
     def _shingles(self, nodes: DataFrame) -> DataFrame:
         """node and shingles (sorted hashes as bytes) of these nodes, each read from one document."""
         words = self.words
@@ -209,23 +280,23 @@ class Join:
     def links(self) -> DataFrame:
         """(a, b): links between different sets, enough to join each component; copies of a set share its node."""
         percent = self.percent
-        regions = self._regions()
-        size = regions.groupBy("lead").agg(F.count("*").alias("size"), F.max("node").alias("top"))
+        families = self._families()
+        size = families.groupBy("lead").agg(F.count("*").alias("size"), F.max("node").alias("top"))
         size = kept(size.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")))
-        sets = kept(self._shingles(regions.select("node")))
+        sets = kept(self._shingles(families.select("node")))
 
-        def solve(region: pd.DataFrame) -> pd.DataFrame:
-            return _pairs(solve_region(region, percent))
+        def solve(family: pd.DataFrame) -> pd.DataFrame:
+            return _pairs(solve_family(family, percent))
 
-        small = regions.join(size.where("blocks = 1").select("lead"), "lead").join(sets, "node")
-        found = kept(small.groupBy("lead").applyInPandas(solve, "a long, b long"))
+        small = families.join(size.where("blocks = 1").select("lead"), "lead").join(sets, "node")
+        found = kept(_spread(small, "lead").groupBy("lead").applyInPandas(solve, "a long, b long"))
         large = size.where("blocks > 1")
         if large.isEmpty():
             return found
-        return self._large(regions.join(large, "lead").join(sets, "node"), large, sets, found)
+        return self._large(families.join(large, "lead").join(sets, "node"), large, sets, found)
 
     def _large(self, rows: DataFrame, large: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
-        """Links of regions that no single task compares; ``found`` are the links known so far."""
+        """Links of families that no single task compares; ``found`` are the links known so far."""
         percent, reach = self.percent, 1 - self.percent / 100 + 1e-9
         rows = kept(rows.select("lead", "node", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), "shingles"))
         pivots = large.select("lead", "blocks", F.explode(F.array("lead", "top")).alias("node"))
@@ -268,7 +339,7 @@ class Join:
         return self._blocks(rows, far, left, found, reach)
 
     def _blocks(self, rows: DataFrame, far: DataFrame, left: DataFrame, found: DataFrame, reach: float) -> DataFrame:
-        """The sets that are left against all sets of their region, in blocks."""
+        """The sets that are left against all sets of their family, in blocks."""
         percent = self.percent
         count = left.groupBy("lead").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("asks"))
         left = left.join(count, "lead").withColumn("ask", F.pmod(F.xxhash64("node", F.lit(1)), "asks").cast("int"))

@@ -28,8 +28,8 @@ from veralytics.llm.common import chunks
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-# Marked words whose pieces a task remembers from batch to batch.
-REMEMBERED = 400_000
+# Marked words whose pieces, and pairs of pieces whose fit, a worker remembers.
+REMEMBERED, REMEMBERED_PAIRS = 400_000, 2_000_000
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
 
@@ -47,7 +47,7 @@ class Vocabulary:
     dummy_prefix: bool
     separators: str
     whole: bool
-    fits_: dict[tuple[str, str], bool] = field(default_factory=dict)
+    fits_: dict[int, bool] = field(default_factory=dict)
     tree: dict = field(default_factory=dict)
 
     @classmethod
@@ -84,9 +84,9 @@ class Vocabulary:
         for piece, i in ids.items():
             if out.kind == UNIGRAM or out.fits("", piece):  # merging never ends in the others
                 node = out.tree
-                for char in piece:
-                    node = node.setdefault(char, {})
-                node[""] = i
+                for char in piece[:-1]:
+                    node = node.setdefault(char, ({}, -1))[0]
+                node[piece[-1]] = (node.get(piece[-1], ({}, -1))[0], i)
         return out
 
     def words(self, text: str) -> list[str]:
@@ -116,66 +116,71 @@ class Vocabulary:
 
     def fits(self, before: str, piece: str) -> bool:
         """Whether ``piece`` can follow ``before`` in a split by merging."""
-        key = (before, piece)
-        known = self.fits_.get(key)
-        if known is None:
-            if len(self.fits_) > 2_000_000:
-                self.fits_.clear()
-            known = self.fits_[key] = self.merged(before + piece) == ([before, piece] if before else [piece])
-        return known
-
-    def spell(self, piece: str) -> list[int]:
-        """The ids of one piece of a split; a character without a piece is spelled in bytes if the model has them."""
-        n = self.ids.get(piece)
-        if n is not None:
-            return [n]
-        raw = [self.byte_ids[b] for b in piece.encode()]
+        return self.merged(before + piece) == ([before, piece] if before else [piece])
+
+    def spell(self, char: str) -> list[int]:
+        """The ids of a character that is no piece: its bytes if the model has them."""
+        raw = [self.byte_ids[b] for b in char.encode()]
         return raw if min(raw) >= 0 else [self.unknown]
 
     def split_all(self, words: list[str]) -> dict[str, list[int]]:
-        """The ids of distinct marked words, by a depth-first walk of their trie."""
-        out, scores, unigram, fits_, fits = {}, self.scores, self.kind == UNIGRAM, self.fits_, self.fits
-        worst = min(scores) - UNKNOWN_PENALTY if unigram else 0.0
-        # By length of the prefix: last piece, sum of scores, and pieces that have begun and may go on.
-        last, best, begun = [""], [0.0], [[]]
+        """The ids of distinct marked words, by a depth-first walk of their trie.
+
+        Pieces are named by id, a character that is no piece by -1.
+        """
+        out, scores, unigram, known, tree = {}, self.scores, self.kind == UNIGRAM, self.fits_, self.tree
+        worst = min(scores) - UNKNOWN_PENALTY
+        # By length of the prefix: last piece and its length, sum of scores, and pieces that have begun and may go on.
+        last, size, best, begun = [-1], [0], [0.0], [[]]
         before = ""
         for word in sorted(words):
             top = min(len(word), len(before))
             same = 0
             while same < top and word[same] == before[same]:
                 same += 1
-            del last[same + 1 :], best[same + 1 :], begun[same + 1 :]
+            del last[same + 1 :], size[same + 1 :], best[same + 1 :], begun[same + 1 :]
             active = begun[same]
             for end in range(same + 1, len(word) + 1):
-                char, found, high, going = word[end - 1], "", -np.inf, []
-                for start, node in (*active, (end - 1, self.tree)):  # the longest piece first
-                    child = node.get(char)
-                    if child is None:
+                char, found, long, high, going = word[end - 1], -1, 1, -np.inf, []
+                for start, children in [*active, (end - 1, tree)]:  # the longest piece first
+                    step = children.get(char)
+                    if step is None:
                         continue
-                    going.append((start, child))
-                    if "" not in child or found and not unigram:
+                    child, piece = step
+                    if child:
+                        going.append((start, child))
+                    if piece < 0 or found >= 0 and not unigram:
                         continue
-                    piece = word[start:end]
                     if unigram:
-                        total = best[start] + scores[child[""]]
+                        total = best[start] + scores[piece]
                         if total > high:
-                            found, high = piece, total
-                    else:
-                        ok = fits_.get((last[start], piece)) if start else True
-                        if ok or ok is None and fits(last[start], piece):
-                            found = piece
-                if not found or unigram and best[end - 1] + worst > high:
-                    found, high = char, best[end - 1] + worst
+                            found, long, high = piece, end - start, total
+                        continue
+                    fits = True if start == 0 else known.get(last[start] << 32 | piece) if last[start] >= 0 else None
+                    if fits is None:
+                        fits = self.fits(word[start - size[start] : start], word[start:end])
+                        if last[start] >= 0:
+                            known[last[start] << 32 | piece] = fits
+                    if fits:
+                        found, long = piece, end - start
+                if unigram and (found < 0 or best[end - 1] + worst > high):
+                    found, long, high = -1, 1, best[end - 1] + worst
                 last.append(found)
+                size.append(long)
                 best.append(high)
                 begun.append(going)
                 active = going
-            split, end = [], len(word)
+            ids, end = [], len(word)
             while end:
-                split.append(last[end])
-                end -= len(last[end])
-            out[word] = [n for piece in reversed(split) for n in self.spell(piece)]
+                if last[end] >= 0:
+                    ids.append(last[end])
+                else:
+                    ids += reversed(self.spell(word[end - 1]))
+                end -= size[end]
+            out[word] = ids[::-1]
             before = word
+        if len(known) > REMEMBERED_PAIRS:
+            known.clear()
         return out
 
     def decode(self, ids: list[int]) -> str:
