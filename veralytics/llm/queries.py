@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veralytics.llm import chat, jaccard_join, mixing, pii, quality_gam, quality_rules, sentencepiece, url_filter, vector_topk
+from veralytics.llm import chat, jaccard_join, mixing, pii, quality_gam, quality_rules, sentencepiece, toxicity, url_filter, vector_topk
 from veralytics.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,5 +69,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 ORACLES["op6_exact_topk"] = vector_topk.ORACLE
 ORACLES["op8_chat_format"] = chat.ORACLE
