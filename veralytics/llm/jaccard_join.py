@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from veralytics.llm.common import kept
 from veralytics.llm.components import components
-from veralytics.llm.id_bits import bitmap, hits
+from veralytics.llm.id_bits import bitmap, hits, parted
 from veralytics.llm.shingles import fingerprint, shingle_sets
 
 WORDS, PERCENT = 3, 90
@@ -398,3 +398,24 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     Sets are told apart by 64-bit hashes of their shingles.
     """
     return Join(docs, words, percent).classes()
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose doc_id is the smallest of its component.
+
+    Documents without words and rows with a null doc_id stay. Of rows that repeat a
+    doc_id of a document with words one stays. Texts are not shuffled: a bitmap of
+    fixed size passes by all but the few rows whose doc_id may have to go.
+    """
+    classes = kept(join(docs, words, percent))
+    alike = classes.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    twice = alike.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("id"), F.lit(True).alias("twice"))
+    lesser = alike.where("doc_id <> component_id").select(F.col("doc_id").alias("id"), F.lit(False).alias("twice")).distinct()
+    found = kept(lesser.union(twice).groupBy("id").agg(F.min("twice").alias("twice")))
+    maybe, sure = parted(docs, bitmap(found))
+    names = docs.columns
+    looked_up = maybe.select(F.struct(*[maybe[c] for c in names]).alias("row"), maybe["doc_id"].cast("long").alias("key"))
+    looked_up = looked_up.join(found, F.col("key") == F.col("id"), "left").where("twice IS NULL OR twice")
+    repeated = looked_up.where("twice").groupBy("key").agg(F.min("row").alias("row"))
+    rows = looked_up.where("twice IS NULL").select("row").union(repeated.select("row"))
+    return sure.union(rows.select(*[F.col("row")[c].alias(c) for c in names]))
