@@ -39,6 +39,19 @@ def test_pending_state_replaces_and_expires(spark, tmp_path):
     assert ("b", "2024-01-01 00:10:00", "expired") not in seen
 
 
+def test_late_row_of_a_key_whose_time_has_passed(spark, tmp_path):
+    """One file per batch: the third row comes after the watermark has passed the held row's end."""
+    log = tmp_path / "log"
+    gold = spark.createDataFrame([("d", "a", "5", 1, "true"), ("d", "b", "6", 1, "true")], "domain string, entity string, value string, version int, is_current string")
+    out = str(tmp_path / "out")
+    for i, (entity, ts) in enumerate([("a", "03:00"), ("b", "12:00"), ("a", "02:30")]):
+        write_log(log, f"{i}.jsonl", [(str(i), f"2024-01-01T{ts}:00", "STALENESS_DETECTED", entity, "INFO")])
+        stream = Z.pending_stream(Z.readiness_stream(readers.event_log_stream(spark, str(log)), gold))
+        rows = Z.run_available(stream, out, "update").collect()
+    seen = [(r.entity, str(r.ready_at), r.status) for r in rows]
+    assert seen.count(("a", "2024-01-01 03:00:00", "expired")) == 1 and ("b", "2024-01-01 12:00:00", "active") in seen
+
+
 def test_routing_drops_repeats_and_survives_restart(spark, tmp_path):
     log = tmp_path / "log"
     write_log(log, "1.jsonl", [("1", "2024-01-01T00:00:00", "STALENESS_DETECTED", "a", "CRITICAL"), ("1", "2024-01-01T00:00:00", "STALENESS_DETECTED", "a", "CRITICAL")])

@@ -61,7 +61,8 @@ def pending_stream(ready: DataFrame, ttl_hours: int = C.INJECTION_TTL_HOURS, wat
     """Keyed state with a time-to-live: the latest pending row per (domain, entity).
 
     A newer row replaces the older one and is emitted as ``active``; when the watermark
-    passes its expiry the key is dropped and emitted as ``expired``.
+    passes its expiry the key is dropped and emitted as ``expired``, also when a late
+    row of the key comes in the batch that would have ended it.
     """
     ttl_ms = ttl_hours * 3_600_000
 
@@ -72,23 +73,23 @@ def pending_stream(ready: DataFrame, ttl_hours: int = C.INJECTION_TTL_HOURS, wat
             yield _pending_row(key, value, version, ready_ms, "expired")
             return
         held = state.get if state.exists else None
-        best = held
+        rows = [] if held is None else [held]
         for batch in batches:
             ms = batch["event_time"].astype("int64") // _unit_of(batch["event_time"])
-            for ready_ms, value, version in zip(ms, batch["value"], batch["version"]):
-                row = (int(ready_ms), value, version)
-                if best is None or row > best:
-                    best = row
-        if best is not None and best != held:
-            expires = best[0] + ttl_ms
-            if expires <= state.getCurrentWatermarkMs():
+            last = batch.assign(ms=ms).nlargest(1, "ms", keep="all").sort_values(["value", "version"], na_position="first")
+            rows += [(int(r.ms), r.value, r.version) for r in last.tail(1).itertuples()]
+        if not rows:
+            return
+        best = max(rows, key=lambda r: (r[0], r[1] or "", r[2] or ""))
+        if best[0] + ttl_ms <= state.getCurrentWatermarkMs():  # also a held row that the watermark has passed in the meantime
+            if held is not None:
                 state.remove()
-                yield _pending_row(key, best[1], best[2], best[0], "expired")
-                return
+            yield _pending_row(key, best[1], best[2], best[0], "expired")
+            return
+        if best != held:
             state.update(best)
             yield _pending_row(key, best[1], best[2], best[0], "active")
-        if state.exists:
-            state.setTimeoutTimestamp(best[0] + ttl_ms)
+        state.setTimeoutTimestamp(best[0] + ttl_ms)
 
     source = timed(ready, "ready_at", watermark).select("domain", "entity", "value", "version", "event_time")
     out = source.groupBy("domain", "entity").applyInPandasWithState(
