@@ -64,6 +64,10 @@ def test_capture_signal_status(spark):
 def test_values_match_and_strip_units(spark):
     rows = [(" Gold. ", "gold"), ("a", "b")]
     assert values(spark, rows, text.values_match(F.col("a"), F.col("b"))) == [True, False]
+    rows = [("a.\n", "\ta"), ("\u3000A;\u00a0", "a"), ("a b", "ab")]
+    assert values(spark, rows, text.values_match(F.col("a"), F.col("b"))) == [True, True, False]
+    assert values(spark, [("\t", ""), (" \n\u00a0", ""), ("\tx", ""), (None, "")], text.blank(F.col("a"))) == [True, True, False, True]
+    assert values(spark, [("\t$4.00\nmonth\nx", "")], text.strip_units(F.col("a"))) == ["4.00"]
     assert values(spark, [("$4.00/month", ""), ("125 mg", ""), ("$", "")], text.strip_units(F.col("a"))) == ["4.00", "125", "$"]
 
 

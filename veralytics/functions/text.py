@@ -42,16 +42,25 @@ def slug(text: Column, chars: int) -> Column:
     return F.substring(F.regexp_replace(F.lower(text), r"[^a-z0-9_]", "_"), 1, chars)
 
 
+# All white space: blanks, tabs, line ends and the wide and fixed blanks of Unicode.
+SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.btrim(text, F.lit(SPACE))
+
+
 def blank(text: Column) -> Column:
     """Null, or nothing but white space."""
-    return text.isNull() | (F.trim(text) == "")
+    return text.isNull() | (stripped(text) == "")
 
 
 def values_match(left: Column, right: Column) -> Column:
     """Equal after lower case, trim and removal of trailing ``.,;:``."""
 
     def norm(value: Column) -> Column:
-        return F.regexp_replace(F.trim(F.lower(value)), r"[.,;:]+$", "")
+        return F.regexp_replace(stripped(F.lower(value)), r"[.,;:]+$", "")
 
     return norm(left) == norm(right)
 
@@ -63,5 +72,5 @@ def thousands(value: Column) -> Column:
 
 def strip_units(value: Column) -> Column:
     """Drop a leading currency sign and everything from the first / or space on."""
-    bare = F.trim(F.regexp_replace(F.regexp_replace(F.trim(value), r"^[\$£€¥₹\s]+", ""), r"[/\s].*$", ""))
-    return F.when(bare != "", bare).otherwise(F.trim(value))
+    bare = stripped(F.regexp_replace(F.regexp_replace(stripped(value), r"^[\$£€¥₹\s]+", ""), r"(?s)[/\s].*$", ""))
+    return F.when(bare != "", bare).otherwise(stripped(value))

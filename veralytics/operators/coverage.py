@@ -44,7 +44,7 @@ def edge_cases(gold: DataFrame, domains: DataFrame) -> DataFrame:
         (
             7,
             "stale_belief",
-            filled("model_belief") & (F.trim("model_belief") != F.trim("value")),
+            filled("model_belief") & (text.stripped(F.col("model_belief")) != text.stripped(F.col("value"))),
             F.concat(F.lit("Has "), e, F.lit("'s "), label, F.lit(" changed from "), belief, F.lit(" to a new value recently?")),
         ),
     ]

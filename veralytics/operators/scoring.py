@@ -175,7 +175,7 @@ def drift_diff(scores: DataFrame) -> DataFrame:
         "staleness_level",
         "semantic_similarity",
         "days_since_update",
-        (F.trim("model_belief") != F.trim("warehouse_truth")).alias("is_drift"),
+        (text.stripped(F.col("model_belief")) != text.stripped(F.col("warehouse_truth"))).alias("is_drift"),
     )
 
 
@@ -421,7 +421,7 @@ def reference_mention(facts: DataFrame, corpus: DataFrame) -> DataFrame:
     ``facts`` (entity, value), ``corpus`` (entity, reference_text, reference_url).
     """
     joined = facts.join(corpus, "entity", "left")
-    raw, bare = F.trim("value"), text.strip_units(F.col("value"))
+    raw, bare = text.stripped(F.col("value")), text.strip_units(F.col("value"))
     body = F.lower("reference_text")
     said = ((raw != "") & F.contains(body, F.lower(raw))) | ((bare != "") & F.contains(body, F.lower(bare)))
     available = F.col("reference_text").isNotNull()
