@@ -109,6 +109,20 @@ def test_vector_topk_both_ways(spark, monkeypatch, sent_rows):
         assert near[i] == order[0][1]
 
 
+def test_vectors_that_are_not_whole_take_no_part(spark):
+    rows = [(1, "a", [1.0, 0.0]), (2, "a", None), (3, "a", []), (4, "a", [1.0, None]), (5, "a", [0.0, 1.0])]
+    d = spark.createDataFrame(rows, "doc_id bigint, g string, embedding array<double>")
+    q = d.withColumnRenamed("doc_id", "query_id")
+    got = sorted((r.query_id, r["rank"], r.doc_id) for r in vector_join.vector_topk(q, d, 3, "g").collect())
+    assert got == [(1, 1, 1), (1, 2, 5), (5, 1, 5), (5, 2, 1)]
+
+
+def test_upsert_keeps_the_later_row(spark):
+    old = spark.createDataFrame([("1", "old"), ("2", "stays")], "doc_id string, text string")
+    new = spark.createDataFrame([("1", "zz first", 1), ("1", "aa last", 2), ("3", "new", 1)], "doc_id string, text string, at int")
+    assert sorted(map(tuple, X.upsert_docs(old, new, "at").collect())) == [("1", "aa last"), ("2", "stays"), ("3", "new")]
+
+
 def test_bm25_both_ways(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     queries = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))

@@ -56,10 +56,14 @@ def doc_build(rows: DataFrame, layer: str, row_no: str = "row_no") -> DataFrame:
     )
 
 
-def upsert_docs(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Incoming documents replace existing ones of the same id; among incoming the last text wins."""
-    row = [c for c in incoming.columns if c != "doc_id"]
-    newest = incoming.groupBy("doc_id").agg(F.max(F.struct(*row)).alias("_n")).select("doc_id", "_n.*")
+def upsert_docs(existing: DataFrame, incoming: DataFrame, order: str) -> DataFrame:
+    """Incoming documents replace existing ones of the same id; among incoming the row last in ``order`` wins.
+
+    ``order`` is a column of ``incoming`` that is not kept; ties go to the largest row.
+    """
+    row = [c for c in incoming.columns if c not in ("doc_id", order)]
+    last = F.max_by(F.struct(*row), F.struct(order, *row)).alias("_n")
+    newest = incoming.groupBy("doc_id").agg(last).select("doc_id", "_n.*")
     kept = existing.join(newest.select("doc_id"), "doc_id", "left_anti")
     return kept.unionByName(newest)
 

@@ -75,7 +75,9 @@ def merge_best(kept: pd.DataFrame | None, found: pd.DataFrame, k: int) -> pd.Dat
 
 
 def _typed(df: DataFrame, key: str, by: str) -> DataFrame:
-    return df.select(F.col(key).cast("bigint").alias(key), F.col(by).cast("string").alias(by), "embedding")
+    """Rows with a whole vector: null or empty ones and those that hold a null take no part."""
+    whole = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull())
+    return df.where(whole).select(F.col(key).cast("bigint").alias(key), F.col(by).cast("string").alias(by), "embedding")
 
 
 def vector_topk(queries: DataFrame, docs: DataFrame, k: int, by: str) -> DataFrame:

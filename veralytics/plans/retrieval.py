@@ -103,12 +103,14 @@ def _(t: Tables) -> DataFrame:
 @query(
     "upsert_docs",
     """SELECT doc_id, text FROM (SELECT 'd' || CAST(doc_id AS STRING) AS doc_id, text FROM {documents} WHERE doc_id NOT IN (SELECT page_id FROM {pages})
-      UNION ALL SELECT 'd' || CAST(page_id AS STRING), html FROM {pages})""",
+      UNION ALL SELECT 'd' || CAST(page_id AS STRING), CASE WHEN page_id % 2 = 0 THEN url ELSE html END FROM {pages})""",
 )
 def _(t: Tables) -> DataFrame:
     old = t["documents"].select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_id"), "text")
-    new = t["pages"].select(F.concat(F.lit("d"), F.col("page_id").cast("string")).alias("doc_id"), F.col("html").alias("text"))
-    return X.upsert_docs(old, new)
+    # Each page comes twice; the url is the later row of even pages, the html that of odd ones.
+    again = F.array(F.struct(F.lit(1).alias("at"), F.col("html").alias("text")), F.struct((F.expr("page_id % 2 = 0").cast("int") * 2).alias("at"), F.col("url").alias("text")))
+    new = t["pages"].select(F.concat(F.lit("d"), F.col("page_id").cast("string")).alias("doc_id"), F.inline(again))
+    return X.upsert_docs(old, new, "at")
 
 
 @query("tokenize", f"SELECT doc_id, CAST(len({TOK.format(x='text')}) AS INT) AS tokens, array_to_string({TOK.format(x='text')}, ' ') AS terms FROM {{documents}}")
