@@ -260,7 +260,8 @@ def digest_lines(events: DataFrame, industries: DataFrame, hours: int = C.DIGEST
 def notification_log(events: DataFrame, industries: DataFrame, groups: DataFrame) -> DataFrame:
     """One row per notified event with the industry's recipients, the default ones, or log_only.
 
-    ``groups`` (industry, recipients ARRAY); the industry ``default`` is the fallback.
+    ``groups`` (industry, recipients ARRAY); the industry ``default`` is the fallback. Make
+    them by ``dims.fixed``: with a table of unknown size the whole log is shuffled by industry.
     """
     listed = groups.select("industry", F.when(F.size("recipients") > 0, F.array_join("recipients", ";")).alias("_to"))
     fallback = listed.filter(F.col("industry") == "default").agg(F.max("_to").alias("_to")).scalar()

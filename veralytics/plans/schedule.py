@@ -166,8 +166,8 @@ def _(t: Tables) -> DataFrame:
     """SELECT event_id, event_type, ind AS industry, severity, CASE ind WHEN 'Retail' THEN 'a@example.com;b@example.com' ELSE 'all@example.com' END AS recipients FROM {ox_notified}""",
 )
 def _(t: Tables) -> DataFrame:
-    groups = t.spark.createDataFrame(
-        [("Retail", ["a@example.com", "b@example.com"]), ("Insurance", []), ("default", ["all@example.com"])],
+    groups = dims.fixed(
+        t.spark, [("Retail", ["a@example.com", "b@example.com"]), ("Insurance", []), ("default", ["all@example.com"])],
         "industry string, recipients array<string>",
     )
     return H.notification_log(t.bus, dims.industries(t.spark), groups).select(

@@ -26,11 +26,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's checkpoint folder and read it back.
 
     The folder named in ``spark.checkpoint.dir`` is shared, so the result
-    outlives lost executors. A folder of our own is only set where none is
-    configured (tests).
+    outlives lost executors.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="veralytics-ckpt-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share; a temporary one only for a local master (tests)."""
+    sc = spark.sparkContext
+    shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared.rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="veralytics-")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veralytics.session import shared_folder
+
 
 def conform(df: DataFrame, schema: str) -> DataFrame:
     """The columns of ``schema`` in order; missing ones become null, others are dropped."""
@@ -47,7 +48,5 @@ def gap_report_sink(ranked: DataFrame, path: str) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder name below the cluster's shared checkpoint folder; a temporary one where none is set."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    base = shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="veralytics-")
-    return f"{base}/run-{uuid.uuid4().hex}"
+    """A new folder name below the cluster's shared checkpoint folder."""
+    return f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
