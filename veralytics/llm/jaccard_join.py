@@ -37,8 +37,10 @@ from veralytics.llm.shingles import fingerprint, shingle_sets
 WORDS, PERCENT = 3, 90
 # Counts by hash that order the shingles; every task holds 2**COUNT_BITS of them.
 COUNT_BITS, COUNT_PARTS = 18, 64
-# Sets of a family, or of one side of two blocks, that one task compares; counts of a region that one task compares.
-BLOCK, REGION = 512, 2048
+# Sets of a family, or of one side of two blocks, that one task compares, and their shingles together; sketches of a region.
+BLOCK, BLOCK_SHINGLES, REGION = 2048, 4_000_000, 2048
+# Rows (sketches) or shingles (sets) that one call inside a task takes, as whole regions or families.
+CALL_ROWS, CALL_SHINGLES = 4000, 2_000_000
 # A set's shingles are counted in 2**k buckets that hold this many of them at least on average.
 PER_BUCKET = 4
 ROUNDS = 4
@@ -88,7 +90,7 @@ def sketch(own: np.ndarray) -> np.ndarray:
 
 
 def near_pairs(region: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
-    """Spanning links of the pairs that sizes and sketches leave possible.
+    """Links that span the components of the pairs that sizes and sketches leave possible.
 
     The distance of two sketches is no more than the size of the sets' symmetric
     difference; a finer sketch is added up to the coarser one's buckets first.
@@ -97,7 +99,7 @@ def near_pairs(region: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
     nodes, size = region["node"].to_numpy(), region["n_shingles"].to_numpy()
     fine = [np.frombuffer(s, np.uint8).astype(np.int32) for s in region["sketch"]]
     level = np.array([len(s) for s in fine])
-    group, out, stacked = np.arange(len(nodes)), [], {}
+    group, stacked = np.arange(len(nodes)), {}
 
     def at(k: int) -> np.ndarray:
         """All sketches of at least ``k`` buckets, with ``k`` buckets; those of fewer buckets as zeros."""
@@ -118,8 +120,13 @@ def near_pairs(region: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
         for j in others[linked((size[others] + size[i] - gap) // 2, size[i], size[others], percent)]:
             if group[j] != group[i]:
                 group[group == group[j]] = group[i]
-                out.append((nodes[i], nodes[j]))
-    return out
+    return stars(nodes, group)
+
+
+def stars(nodes: np.ndarray, group: np.ndarray) -> list[tuple[int, int]]:
+    """A link from each node to the smallest of its group."""
+    least = pd.Series(nodes).groupby(group).transform("min").to_numpy()
+    return [(a, b) for a, b in zip(nodes, least, strict=True) if a != b]
 
 
 class Forest:
@@ -152,25 +159,37 @@ def solve_family(region: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
     inter = intersections([sets[pivot]], sets)[0]
     far = 1 - inter / (size + size[pivot] - inter)
     order = np.argsort(far, kind="stable")
-    forest, out = Forest(nodes), []
+    group = np.arange(len(nodes))
     reach = 1 - percent / 100 + 1e-9
     for start in range(0, len(order), 64):
         rows = order[start : start + 64]
         others = order[start : np.searchsorted(far[order], far[rows[-1]] + reach, side="right")]
-        if len(others) < 2:
+        if len(np.unique(group[others])) < 2:
             continue
         found = intersections([sets[i] for i in rows], [sets[i] for i in others])
         for i, j in zip(*np.nonzero(linked(found, size[rows][:, None], size[others][None, :], percent)), strict=True):
-            a, b = nodes[rows[i]], nodes[others[j]]
-            if a != b and forest.join(a, b):
-                out.append((a, b))
-    return out
+            a, b = group[rows[i]], group[others[j]]
+            if a != b:
+                group[group == b] = a
+    return stars(nodes, group)
 
 
 def _pairs(rows) -> pd.DataFrame:
     return pd.DataFrame({"a": [int(a) for a, _ in rows], "b": [int(b) for _, b in rows]}, dtype=np.int64)
 
 
+def _each(rows: DataFrame, calls: int, solve) -> DataFrame:
+    """``solve`` over each lead's rows, with many leads to a call; its pairs as (a, b)."""
+
+    def call(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("lead", ignore_index=True)
+        edges = np.flatnonzero(np.diff(part["lead"].to_numpy(), prepend=part["lead"].iloc[0])) if len(part) else []
+        return _pairs([p for a, b in zip([0, *edges], [*edges, len(part)], strict=True) for p in solve(part.iloc[a:b])])
+
+    rows = rows.withColumn("call", F.pmod(F.xxhash64("lead"), F.lit(max(1, calls))))
+    return _spread(rows, "call").groupBy("call").applyInPandas(call, "a long, b long")
+
+
 def _spread(rows: DataFrame, *keys: str) -> DataFrame:
     """As many partitions as the cluster's setting says: these rows cost time, not bytes, so they are not put together."""
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
@@ -244,17 +263,14 @@ class Join:
         percent, regions = self.percent, self._regions()
         sketches = self.named.groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
         size = kept(regions.groupBy("lead").agg(F.count("*").alias("size")))
-
-        def near(region: pd.DataFrame) -> pd.DataFrame:
-            return _pairs(near_pairs(region, percent))
-
+        calls = int(size.agg(F.sum("size")).first()[0] or 0) // CALL_ROWS
         rows = regions.join(size.where(F.col("size") <= REGION).select("lead"), "lead").join(sketches, "node")
         large = regions.join(size.where(F.col("size") > REGION).select("lead"), "lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
-        parts = components(_spread(rows, "lead").groupBy("lead").applyInPandas(near, "a long, b long").union(large))
+        parts = components(_each(rows, calls, lambda region: near_pairs(region, percent)).union(large))
         return kept(parts.select(F.col("component").alias("lead"), "node"))
 
     def _shingles(self, nodes: DataFrame) -> DataFrame:
-        """node and shingles (sorted hashes as bytes) of these nodes, each read from one document."""
+        """node, n and shingles (so many sorted hashes as bytes) of these nodes, each read from one document."""
         words = self.words
         named = self.named.where("doc_id IS NOT NULL AND node IS NOT NULL")
         first = kept(named.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(nodes.distinct(), "node", "left_semi"))
@@ -269,31 +285,34 @@ class Join:
                     [
                         own.column("doc_id").take(pa.array(full, pa.int64())),
                         pa.array([fingerprint(sets[i]) for i in full], pa.int64()),
+                        pa.array([len(sets[i]) for i in full], pa.int64()),
                         pa.array([sets[i].tobytes() for i in full], pa.binary()),
                     ],
-                    ["doc_id", "node", "shingles"],
+                    ["doc_id", "node", "n", "shingles"],
                 )
 
-        rows = self.docs.mapInArrow(read, "doc_id long, node long, shingles binary")
-        return rows.join(first, ["doc_id", "node"]).groupBy("node").agg(F.first("shingles").alias("shingles"))
+        rows = self.docs.mapInArrow(read, "doc_id long, node long, n long, shingles binary")
+        return rows.join(first, ["doc_id", "node"]).groupBy("node").agg(
+            F.first("n").alias("n"), F.first("shingles").alias("shingles")
+        )
 
     def links(self) -> DataFrame:
         """(a, b): links between different sets, enough to join each component; copies of a set share its node."""
         percent = self.percent
         families = self._families()
-        size = families.groupBy("lead").agg(F.count("*").alias("size"), F.max("node").alias("top"))
-        size = kept(size.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")))
         sets = kept(self._shingles(families.select("node")))
-
-        def solve(family: pd.DataFrame) -> pd.DataFrame:
-            return _pairs(solve_family(family, percent))
-
+        size = families.join(sets.select("node", "n"), "node").groupBy("lead").agg(
+            F.count("*").alias("size"), F.sum("n").alias("n"), F.max("node").alias("top")
+        )
+        blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("n") / BLOCK_SHINGLES)).cast("int")
+        size = kept(size.withColumn("blocks", blocks))
         small = families.join(size.where("blocks = 1").select("lead"), "lead").join(sets, "node")
-        found = kept(_spread(small, "lead").groupBy("lead").applyInPandas(solve, "a long, b long"))
+        calls = int(size.where("blocks = 1").agg(F.sum("n")).first()[0] or 0) // CALL_SHINGLES
+        found = kept(_each(small, calls, lambda family: solve_family(family, percent)))
         large = size.where("blocks > 1")
         if large.isEmpty():
             return found
-        return self._large(families.join(large, "lead").join(sets, "node"), large, sets, found)
+        return self._large(families.join(large.drop("n"), "lead").join(sets, "node"), large, sets.drop("n"), found)
 
     def _large(self, rows: DataFrame, large: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
         """Links of families that no single task compares; ``found`` are the links known so far."""
