@@ -118,9 +118,8 @@ def _sample(docs: DataFrame, labels: DataFrame, toxic_rows: int, ordinary_rows:
     order = [F.xxhash64("id"), "id"]
     chosen = known.where("y = 1").orderBy(*order).limit(toxic_rows).union(known.where("y = 0").orderBy(*order).limit(ordinary_rows))
     calibrates = F.crc32(F.col("id").cast("string").cast("binary")) % 4 == (HELD_OUT + 2) % 4
-    return docs.join(F.broadcast(chosen.withColumn("calibrates", calibrates)), docs["doc_id"].cast("long") == F.col("id")).select(
-        docs["text"], "y", "calibrates"
-    )
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    return texts.join(F.broadcast(chosen.withColumn("calibrates", calibrates)), "id").select("text", "y", "calibrates")
 
 
 def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS) -> Model:
