@@ -24,9 +24,9 @@ SELECT domain, entity, case_no, case_type, query FROM (
   FROM (SELECT g.*, d.display_name, trim(replace(replace(d.value_column, '_', ' '), 'usd', '')) AS label FROM {ox_current} g JOIN {fx_domains} d USING (domain)))
 WHERE query IS NOT NULL
 """
-# The benchmark texts of five domains are the probe questions; two domains have none.
+# The benchmark texts are the probe questions.
 ORACLE_PARTS["ox_questions"] = """
-SELECT d.domain, item_id AS pos, text AS question FROM {benchmark} JOIN {fx_domains} d ON d.domain_id = item_id % 7 WHERE d.risk_category <> 'Limited'
+SELECT d.domain, item_id AS pos, text AS question FROM {benchmark} JOIN {fx_domains} d ON d.domain_id = item_id % 7
 """
 ORACLE_PARTS["ox_best_text"] = f"""
 SELECT c.domain, c.entity, c.case_no, c.case_type, c.query, b.best_probe, coalesce(b.best_score, 0) AS best_score, coalesce(b.best_score, 0) >= CAST(0.02 AS DOUBLE) AS covered
@@ -43,7 +43,7 @@ def cases(t: Tables) -> DataFrame:
 
 
 def questions(t: Tables) -> DataFrame:
-    asked = t["benchmark"].join(t.domains, F.col("domain_id") == F.col("item_id") % 7).filter(F.col("risk_category") != "Limited")
+    asked = t["benchmark"].join(t.domains, F.col("domain_id") == F.col("item_id") % 7)
     return asked.select("domain", F.col("item_id").alias("pos"), F.col("text").alias("question"))
 
 

@@ -55,13 +55,13 @@ _DOC = "'entity: ' || entity || ' | value: ' || value"
 @query(
     "doc_build",
     """SELECT 'gold_' || domain || '_' || substring(regexp_replace(lower(entity), '[^a-z0-9_]', '_', 'g'), 1, 64) || '_' || CAST(version AS STRING) AS doc_id,
-      domain, 'gold' AS layer, entity, value, CAST(effective_date AS STRING) AS effective_date, CAST(version AS STRING) AS version, is_current,
-      'entity: ' || entity || ' | value: ' || value || ' | effective_date: ' || CAST(effective_date AS STRING) || ' | version: ' || CAST(version AS STRING) || ' | is_current: ' || is_current
+      domain, 'gold' AS layer, entity, value, CAST(effective_date AS STRING) AS effective_date, CAST(version AS STRING) AS version, coalesce(is_current, 'true') AS is_current,
+      'entity: ' || entity || ' | value: ' || value || ' | effective_date: ' || CAST(effective_date AS STRING) || ' | version: ' || CAST(version AS STRING) || coalesce(' | is_current: ' || nullif(is_current, ''), '')
         || CASE WHEN expiry_date <> '' THEN ' | expiry_date: ' || expiry_date ELSE '' END AS text
-    FROM {fx_gold} WHERE is_current IS NOT NULL""",
+    FROM {fx_gold}""",
 )
 def _(t: Tables) -> DataFrame:
-    rows = t.gold.filter(F.col("is_current").isNotNull()).select(
+    rows = t.gold.select(
         "domain", "entity", "value", "effective_date", "version", "is_current", "expiry_date", F.col("version").alias("row_no")
     )
     return X.doc_build(rows, "gold")

@@ -41,12 +41,11 @@ def _(t: Tables) -> DataFrame:
     """SELECT domain_key, CASE WHEN c_custkey IS NULL THEN split_part(domain_key, '__', 1) ELSE 'Company ' || c_name END AS company,
       CASE WHEN c_custkey IS NULL THEN domain_key ELSE 'Domain ' || event_type END AS domain, schedule, last_run IS NULL AS never, next_run, due AS due_now
     FROM {ox_sched} LEFT JOIN (SELECT DISTINCT 'co' || CAST(c_custkey AS STRING) || '__' || event_type AS domain_key, c_custkey, c_name, event_type
-      FROM {customer} JOIN {events} ON user_id = c_custkey WHERE c_acctbal > 0) USING (domain_key)""",
+      FROM {customer} JOIN {events} ON user_id = c_custkey) USING (domain_key)""",
 )
 def _(t: Tables) -> DataFrame:
-    owners = t["customer"].filter(F.col("c_acctbal") > 0)
     labels = (
-        t["events"].select("user_id", "event_type").distinct().join(owners, F.col("user_id") == F.col("c_custkey"))
+        t["events"].select("user_id", "event_type").distinct().join(t["customer"], F.col("user_id") == F.col("c_custkey"))
         .select(
             F.concat(F.lit("co"), F.col("c_custkey").cast("string"), F.lit("__"), "event_type").alias("domain_key"),
             F.concat(F.lit("Company "), "c_name").alias("company_name"), F.concat(F.lit("Domain "), "event_type").alias("domain_name"),
@@ -69,11 +68,10 @@ def _(t: Tables) -> DataFrame:
 @query(
     "reprobe_requests",
     """SELECT domain, entity, staleness_level, staleness_score, 'reprobe_after_correction' AS triggered_by FROM {ox_probed}
-    WHERE domain IN (SELECT domain FROM {fx_bus} WHERE event_type = 'REPROBE_REQUESTED' AND severity = 'CRITICAL')""",
+    WHERE domain IN (SELECT domain FROM {fx_bus} WHERE event_type = 'REPROBE_REQUESTED')""",
 )
 def _(t: Tables) -> DataFrame:
-    events = t.bus.filter(F.col("severity") == "CRITICAL")
-    return H.reprobe_requests(events, t.gold, t.domains, AS_OF).select(
+    return H.reprobe_requests(t.bus, t.gold, t.domains, AS_OF).select(
         "domain", "entity", "staleness_level", "staleness_score", "triggered_by"
     )
 

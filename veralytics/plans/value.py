@@ -15,12 +15,11 @@ ORACLE_PARTS["ox_linked"] = """
 SELECT * FROM {fx_outcomes} o WHERE EXISTS (SELECT 1 FROM {fx_injections} i WHERE i.domain = o.domain
   AND o.outcome_ts >= i.injected_at AND o.outcome_ts <= i.injected_at + INTERVAL 4 HOUR)
 """
-# Only three domains have linked outcomes here, so the fallback to the decision log shows too.
 ORACLE_PARTS["ox_counts"] = f"""
 SELECT d.domain, CASE WHEN l.n > 0 THEN l.n ELSE coalesce(x.n, 0) END AS total_decisions
-FROM {{fx_domains}} d LEFT JOIN (SELECT domain, count(*) AS n FROM {{ox_linked}} WHERE risk_flag GROUP BY 1) l USING (domain)
+FROM {{fx_domains}} d LEFT JOIN (SELECT domain, count(*) AS n FROM {{ox_linked}} GROUP BY 1) l USING (domain)
 LEFT JOIN (SELECT domain, count(*) AS n FROM {{fx_decisions}} WHERE {_CUT} GROUP BY 1) x USING (domain)
-""".replace("WHERE risk_flag", "WHERE domain IN (SELECT domain FROM {fx_domains} WHERE risk_category = 'High')")
+"""
 ORACLE_PARTS["ox_exposure"] = """
 SELECT *, round(financial_exposure_usd * 0.65, 2) AS recovery_potential_usd FROM (
   SELECT domain, risk_category, 30 AS failure_period_days, total_decisions, CAST(floor(total_decisions * CAST(0.15 AS DOUBLE)) AS BIGINT) AS estimated_bad_decisions,
@@ -49,8 +48,7 @@ def linked(t: Tables) -> DataFrame:
 
 
 def counts(t: Tables) -> DataFrame:
-    high = t.domains.filter(F.col("risk_category") == "High").select("domain")
-    return V.count_decisions(t.domains, linked(t).join(high, "domain", "left_semi"), t["fx_decisions"], AS_OF_ORDERS)
+    return V.count_decisions(t.domains, linked(t), t["fx_decisions"], AS_OF_ORDERS)
 
 
 def exposures(t: Tables) -> DataFrame:
