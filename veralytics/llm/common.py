@@ -5,10 +5,15 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 # Characters of text that one step inside a task holds as words at a time.
 CHUNK_CHARS = 2_000_000
+# Bytes of text that one step takes of an Arrow batch.
+SLICE_BYTES = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,3 +52,15 @@ def chunks(texts: Sequence, chars: int = CHUNK_CHARS) -> Iterator[slice]:
         held += size
     if start < len(texts):
         yield slice(start, len(texts))
+
+
+def sliced(batch: pa.RecordBatch, size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Slices of a batch with about ``size`` bytes of text, each with its texts; a longer text stands alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(ends):
+        done = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, done + size, side="right")))
+        part = batch.slice(start, end - start)
+        yield part, part.column("text").to_pylist()
+        start = end

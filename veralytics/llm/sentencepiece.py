@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veralytics.llm.common import chunks
+from veralytics.llm.common import CHUNK_CHARS, sliced
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -238,9 +238,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(model, vocabulary)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for part in chunks(texts):
-                own = texts[part]
+            for part, own in sliced(batch, CHUNK_CHARS):
                 flat, counts = encoder(own)
                 missing = np.array([t is None for t in own], bool)
                 ends = np.concatenate([[0], np.cumsum(counts)])
@@ -248,7 +246,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
                 same = [None if t is None else vocabulary.decode(ids[a:b]) == t for t, a, b in zip(own, ends, ends[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").slice(part.start, len(own)),
+                        part.column("doc_id"),
                         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()), mask=pa.array(missing)),
                         pa.array(counts, pa.int64()),
                         pa.array(same, pa.bool_()),
