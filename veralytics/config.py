@@ -68,9 +68,6 @@ COST_PER_1K = {
     "claude-sonnet-4-6": 0.003,
     "claude-opus-4-7": 0.015,
 }
-CRAG_LOG_COLUMNS = [
-    "timestamp", "question", "grade", "confidence", "retries_used", "final_extracted_value", "cost_usd",
-]
 UNAVAILABLE = "[unavailable]"
 ANSWER_ERROR = "[error]"
 MAX_ENTITY_CHARS = 200
@@ -86,6 +83,7 @@ BM25_B = 0.75
 BOOST = 1.5
 DOC_ID_CHARS = 512
 SLUG_CHARS = 64
+PROBE_QUESTION_CHARS = 500
 SIMILAR_PROBES = 10
 LAYER_COLLECTIONS = {
     "gold": ["gold"],
@@ -99,23 +97,6 @@ COVERAGE_THRESHOLD = 0.55
 TOP_GAPS = 10
 
 # --- events ------------------------------------------------------------------
-MODULES = ("DKSM", "LCI", "PP", "AVL", "FLE", "ASGC")
-EVENT_TYPES = (
-    "STALENESS_DETECTED",
-    "CONTEXT_INJECTED",
-    "PIPELINE_FAILURE_FOUND",
-    "VALUE_CALCULATED",
-    "CORRECTION_RECEIVED",
-    "CORRECTION_APPLIED",
-    "APPROVAL_REQUIRED",
-    "APPROVAL_GRANTED",
-    "APPROVAL_REJECTED",
-    "REPROBE_REQUESTED",
-    "LEARNING_IMPROVEMENT",
-    "EXPIRY_ALERT",
-    "DATA_CONTRACT_EXPIRY",
-)
-SEVERITIES = ("INFO", "WARNING", "CRITICAL")
 EVENT_LABELS = {
     "STALENESS_DETECTED": "🔴 DKSM detected staleness",
     "CONTEXT_INJECTED": "💉 LCI injected verified context",
@@ -138,11 +119,9 @@ QUERY_PREVIEW_CHARS = 120
 
 # --- root cause --------------------------------------------------------------
 LOOKBACK_DAYS = 180
-EVENT_LOOKBACK_DAYS = 30
 DROP_RATIO = 0.70
 GAP_HOURS = 24
 CRITICAL_AFTER_DAYS = 30
-RUN_LOG_REQUIRED = ["run_timestamp", "status", "rows_affected", "schema_version", "dbt_model"]
 DEFAULT_OWNER = "unknown@company.com"
 # failure class, position, action, description, minutes, risk, automatic
 REMEDIATION_OPTIONS = [

@@ -294,7 +294,7 @@ def store_probe_result(probes: DataFrame) -> DataFrame:
         "staleness_level",
         "crag_grade",
         "probe_ts",
-        F.substring("question", 1, 500).alias("question"),
+        F.substring("question", 1, C.PROBE_QUESTION_CHARS).alias("question"),
         F.coalesce("extracted_value", F.lit("")).alias("extracted_value"),
         body.alias("text"),
     )
