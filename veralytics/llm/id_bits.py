@@ -45,13 +45,10 @@ def hits(bits: np.ndarray, ids: pa.Array) -> np.ndarray:
 
 
 def parted(docs: DataFrame, bits: np.ndarray, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """The rows of ``docs`` that may be among the ids, and those that are not."""
+    """The rows of ``docs`` that may be among the ids, and those that are not; only the key goes to Python."""
 
-    def of(wanted: bool):
-        def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array(hits(bits, batch.column(key).cast(pa.int64())) == wanted))
+    def maybe(ids: pa.Array) -> pa.Array:
+        return pa.array(hits(bits, ids))
 
-        return docs.mapInArrow(take, docs.schema)
-
-    return of(True), of(False)
+    may = F.arrow_udf(maybe, "boolean")(docs[key].cast("long"))
+    return docs.where(may), docs.where(~may)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veralytics.llm.common import kept
+from veralytics.llm.common import kept, sliced
 from veralytics.llm.components import components
 from veralytics.llm.id_bits import bitmap, hits, parted
 from veralytics.llm.shingles import fingerprint, shingle_sets
@@ -40,7 +40,9 @@ COUNT_BITS, COUNT_PARTS = 18, 64
 # Sets of a family, or of one side of two blocks, that one task compares, and their shingles together; sketches of a region.
 BLOCK, BLOCK_SHINGLES, REGION = 2048, 4_000_000, 2048
 # Rows (sketches) or shingles (sets) that one call inside a task takes, as whole regions or families.
-CALL_ROWS, CALL_SHINGLES = 4000, 2_000_000
+CALL_ROWS, CALL_SHINGLES = 4000, 1_000_000
+# Shingles of a family that one step of a call compares with 64 of its sets.
+STEP_SHINGLES = 500_000
 # A set's shingles are counted in 2**k buckets that hold this many of them at least on average.
 PER_BUCKET = 4
 ROUNDS = 4
@@ -166,11 +168,13 @@ def solve_family(region: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
         others = order[start : np.searchsorted(far[order], far[rows[-1]] + reach, side="right")]
         if len(np.unique(group[others])) < 2:
             continue
-        found = intersections([sets[i] for i in rows], [sets[i] for i in others])
-        for i, j in zip(*np.nonzero(linked(found, size[rows][:, None], size[others][None, :], percent)), strict=True):
-            a, b = group[rows[i]], group[others[j]]
-            if a != b:
-                group[group == b] = a
+        held = np.cumsum(size[others]) // STEP_SHINGLES
+        for part in np.split(others, np.flatnonzero(np.diff(held)) + 1):
+            found = intersections([sets[i] for i in rows], [sets[i] for i in part])
+            for i, j in zip(*np.nonzero(linked(found, size[rows][:, None], size[part][None, :], percent)), strict=True):
+                a, b = group[rows[i]], group[part[j]]
+                if a != b:
+                    group[group == b] = a
     return stars(nodes, group)
 
 
@@ -207,27 +211,30 @@ class Join:
         """doc_id, n_shingles, node (the set's name) and sketch of all rows, and the counts that order the shingles."""
         words, step = self.words, 2**COUNT_BITS // COUNT_PARTS
 
-        def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+        columns = ["doc_id", "n_shingles", "node", "sketch", "part", "counts"]
+
+        def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = np.zeros(2**COUNT_BITS, np.int64)
             for batch in batches:
-                sets = list(shingle_sets(batch["text"].tolist(), words))
-                if not sets:
-                    continue
-                counts += np.bincount(_bucket(np.concatenate(sets)), minlength=len(counts))
-                node = pd.array([fingerprint(own) if len(own) else None for own in sets], "Int64")
-                size = [len(own) for own in sets]
-                marks = [sketch(own).tobytes() for own in sets]
-                yield pd.DataFrame(
-                    {"doc_id": batch["doc_id"], "n_shingles": size, "node": node, "sketch": marks, "part": None, "counts": None}
-                )
+                for part, texts in sliced(batch):
+                    sets = list(shingle_sets(texts, words))
+                    counts += np.bincount(_bucket(np.concatenate(sets)), minlength=len(counts))
+                    size = [len(own) for own in sets]
+                    node = [fingerprint(own) if len(own) else None for own in sets]
+                    marks = [sketch(own).tobytes() for own in sets]
+                    rest = [None] * len(sets)
+                    values = [part.column("doc_id").to_pylist(), size, node, marks, rest, rest]
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], columns)
             parts = [counts[i * step : (i + 1) * step].tobytes() for i in range(COUNT_PARTS)]
-            yield pd.DataFrame({"doc_id": None, "n_shingles": None, "node": None, "sketch": None, "part": range(COUNT_PARTS), "counts": parts})
+            values = [*[[None] * COUNT_PARTS] * 4, range(COUNT_PARTS), parts]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], columns)
 
         def total(key, rows: pd.DataFrame) -> pd.DataFrame:
             sums = np.sum([np.frombuffer(b, np.int64) for b in rows["counts"]], axis=0)
             return pd.DataFrame({"part": [key[0]], "counts": [sums.tobytes()]})
 
-        both = kept(self.docs.mapInPandas(name, "doc_id long, n_shingles long, node long, sketch binary, part int, counts binary"))
+        both = kept(self.docs.mapInArrow(name, "doc_id long, n_shingles long, node long, sketch binary, part int, counts binary"))
         rows = both.where("part IS NOT NULL").groupBy("part").applyInPandas(total, "part int, counts binary").collect()
         counts = np.zeros((COUNT_PARTS, step), np.int64)
         for r in rows:  # COUNT_PARTS rows of fixed size
@@ -238,11 +245,11 @@ class Join:
         """(lead, node): the sets that share a shingle of their prefixes with the pivot ``lead``, itself included."""
         words, percent, counts = self.words, self.percent, self.counts
 
-        def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             done: set[int] = set()  # of this task's rows
-            for batch in batches:
+            for texts in (texts for batch in batches for _, texts in sliced(batch)):
                 token, node = [], []
-                for own in shingle_sets(batch["text"].tolist(), words):
+                for own in shingle_sets(texts, words):
                     name = fingerprint(own) if len(own) else None
                     if name is None or name in done:
                         continue
@@ -252,9 +259,9 @@ class Join:
                     token.append(own[rare].view(np.int64))
                     node.append(np.full(n, name, np.int64))
                 if token:
-                    yield pd.DataFrame({"token": np.concatenate(token), "node": np.concatenate(node)})
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token)), pa.array(np.concatenate(node))], ["token", "node"])
 
-        tokens = kept(self.docs.where("doc_id IS NOT NULL").mapInPandas(prefixes, "token long, node long"))
+        tokens = kept(self.docs.where("doc_id IS NOT NULL").mapInArrow(prefixes, "token long, node long"))
         shared = tokens.groupBy("token").agg(F.min("node").alias("lead"), F.max("node").alias("top")).where("lead < top")
         return kept(tokens.join(shared.select("token", "lead"), "token").select("lead", "node").distinct())
 
@@ -277,9 +284,9 @@ class Join:
         bits = bitmap(first.select(F.col("doc_id").alias("id")))
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                own = batch.filter(pa.array(hits(bits, batch.column("doc_id"))))
-                sets = list(shingle_sets(own.column("text").to_pylist(), words))
+            found = (batch.filter(pa.array(hits(bits, batch.column("doc_id")))) for batch in batches)
+            for own, texts in (part for batch in found for part in sliced(batch)):
+                sets = list(shingle_sets(texts, words))
                 full = [i for i, s in enumerate(sets) if len(s)]
                 yield pa.RecordBatch.from_arrays(
                     [

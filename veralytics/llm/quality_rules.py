@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veralytics.llm.common import kept
+from veralytics.llm.common import kept, sliced
 from veralytics.llm.labelled import SAMPLE_ROWS, labelled_sample
 from veralytics.llm.text_stats import BASE, FEATURES, text_stats
 
@@ -179,10 +179,11 @@ def keep_good(docs: DataFrame, labels: DataFrame, least_score: float = LEAST_SCO
     train = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
     forest = fit(kept(stats_table(train)), labels, rows)
 
-    def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            stats = text_stats(batch.column("text").to_pylist())
-            keep = ~failed(stats) & (forest.score(stats[FEATURES].to_numpy(float)) >= least_score)
-            yield batch.filter(pa.array(keep.to_numpy()))
+    def good(text: pa.Array) -> pa.Array:
+        keep = [np.zeros(0, bool)]
+        for _, texts in sliced(pa.RecordBatch.from_arrays([text], ["text"])):
+            stats = text_stats(texts)
+            keep.append((~failed(stats) & (forest.score(stats[FEATURES].to_numpy(float)) >= least_score)).to_numpy())
+        return pa.array(np.concatenate(keep))
 
-    return docs.mapInArrow(good, docs.schema)
+    return docs.where(F.arrow_udf(good, "boolean")(docs["text"]))
