@@ -14,6 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 CHUNK_CHARS = 2_000_000
 # Bytes of text that one step takes of an Arrow batch.
 SLICE_BYTES = 1_000_000
+# CRC-32 of the ASCII text ``k`` in SQL without such a function, bit by bit.
+CRC32_SQL = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(k) + 1), lambda i: ascii(k[i])::BIGINT)),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+      lambda x, i: xor(x >> 1, 3988292384::BIGINT * (x & 1)))), 4294967295::BIGINT)"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

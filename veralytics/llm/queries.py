@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veralytics.llm import chat, jaccard_join, mixing, pii, quality_gam, quality_rules, sentencepiece, toxicity, url_filter, vector_topk
+from veralytics.llm import chat, conversation_repair, jaccard_join, merkle, mixing, near_vectors, pii, quality_gam, quality_rules, sentencepiece, toxicity, url_filter, vector_topk
 from veralytics.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,5 +74,23 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents")).drop("proof")
+
+
+@query
+def op12_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near(table(spark, sf_dir, "embeddings"))
+
+
 ORACLES["op6_exact_topk"] = vector_topk.ORACLE
 ORACLES["op8_chat_format"] = chat.ORACLE
+ORACLES["op13_conversation_repair"] = conversation_repair.ORACLE
+ORACLES["op11_merkle_manifest"] = merkle.ORACLE
+ORACLES["op12_near_vectors"] = near_vectors.ORACLE
