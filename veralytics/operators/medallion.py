@@ -149,21 +149,13 @@ def entity_lookup(gold: DataFrame, requests: DataFrame) -> DataFrame:
     row = F.struct(*[F.col(c) for c in found.columns if c not in ("domain", "_name")])
 
     asked = requests.select("domain", F.lower("entity").alias("_needle")).distinct()
-    same_name = (
-        asked.join(found.withColumn("_needle", F.col("_name")), ["domain", "_needle"])
+    # A name also contains itself, so one pass finds both kinds; per request one row per task is shuffled.
+    exact = F.col("_name") == F.col("_needle")
+    answers = (
+        contains_join(asked, found, "domain", "_needle", "_name")
         .groupBy("domain", "_needle")
-        .agg(F.min_by(row, rank).alias("_gold"))
-    )
-    # One row per distinct request; read several times below, so it is computed once.
-    exact = cut_lineage(asked.join(same_name, ["domain", "_needle"], "left"))
-    missed = exact.filter(F.col("_gold").isNull()).select("domain", "_needle")
-    partial = (
-        contains_join(missed, found, "domain", "_needle", "_name")
-        .groupBy("domain", "_needle")
-        .agg(F.min_by(row, rank).alias("_gold"))
-    )
-    answers = exact.filter(F.col("_gold").isNotNull()).withColumn("match_type", F.lit("exact")).unionByName(
-        partial.withColumn("match_type", F.lit("contains"))
+        .agg(F.min_by(F.struct(exact.alias("exact"), row.alias("gold")), F.struct(~exact, rank)).alias("_best"))
+        .select("domain", "_needle", F.when(F.col("_best.exact"), "exact").otherwise("contains").alias("match_type"), F.col("_best.gold").alias("_gold"))
     )
     joined = requests.withColumn("_needle", F.lower("entity")).join(answers, ["domain", "_needle"], "left")
     taken = set(requests.columns)
