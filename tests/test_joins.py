@@ -1,19 +1,25 @@
 """The scalable joins against brute force on small random data."""
 
 import datetime as dt
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from veralytics.operators import coverage, term_join, vector_join
+from veralytics.operators import contains_join as contains_join_module
+from veralytics.operators import coverage, medallion, postings, vector_join
 from veralytics.operators import injection as I
 from veralytics.operators import retrieval as X
 from veralytics.operators import value as V
 from veralytics.operators.contains_join import contains_join
 from veralytics.operators.median import exact_median
 from veralytics.operators.rootcause import run_gap
+from veralytics.session import stored
 
 START = dt.datetime(2024, 1, 1)
 
@@ -30,6 +36,33 @@ def test_contains_join(spark):
     assert sorted((r.n, r.m) for r in got.collect()) == expected
 
 
+def test_contains_join_in_blocks(spark, monkeypatch):
+    """Many blocks of needles, letters of all kinds, repeated and null rows, and one domain with most of the names."""
+    monkeypatch.setattr(contains_join_module, "BLOCK_CHARS", 20)
+    monkeypatch.setattr(contains_join_module, "HITS", 3)
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abé日🦙 %") for _ in range(rng.randint(0, n)))
+    names = [(i, "x" if i % 4 else "y", text(12)) for i in range(400)] + [(900, None, "a"), (901, "x", None), (902, "lone", "a")]
+    needles = [(i, "xyz"[i % 3], text(4)) for i in range(90)] + [(95, "x", None), (96, None, "a"), (97, "x", "b"), (98, "x", "b")]
+    n, m = spark.createDataFrame(needles, "n int, k string, needle string"), spark.createDataFrame(names, "m int, k string, name string")
+    got = contains_join(n, m, "k", "needle", "name")
+    assert sorted((r.n, r.m) for r in got.collect()) == sorted((a, b) for a, k, x in needles for b, k2, y in names if x is not None and y is not None and k is not None and k == k2 and x in y)
+    assert contains_join(n.limit(0), m, "k", "needle", "name").count() == 0 and contains_join(n, m.limit(0), "k", "needle", "name").count() == 0
+
+
+def test_lookups_read_gold_once(spark, tmp_path):
+    """One scan of the names, whatever the number of requests."""
+    gold = [("d", f"Name {i}", str(i), 1 + i % 3, "true") for i in range(50)]
+    spark.createDataFrame(gold, "domain string, entity string, value string, version int, is_current string").write.parquet(str(tmp_path / "gold"))
+    names = spark.read.parquet(str(tmp_path / "gold"))
+    requests = spark.createDataFrame([(1, "d", "name 7"), (2, "d", "E 4"), (3, "d", "none")], "request_id int, domain string, entity string")
+    for df, rows in ((medallion.lineage(names, requests), 12), (medallion.entity_lookup(names, requests), 3)):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation [domain") == 1
+        assert df.count() == rows
+    found = {r["request_id"]: (r["match_type"], r["gold_entity"]) for r in medallion.entity_lookup(names, requests).collect()}
+    assert found == {1: ("exact", "Name 7"), 2: ("contains", "Name 41"), 3: ("none", None)}
+
+
 @pytest.mark.parametrize("size", [1, 2, 501])
 def test_exact_median(spark, size):
     rng = random.Random(size)
@@ -123,13 +156,61 @@ def test_upsert_keeps_the_later_row(spark):
     assert sorted(map(tuple, X.upsert_docs(old, new, "at").collect())) == [("1", "aa last"), ("2", "stays"), ("3", "new")]
 
 
-def test_bm25_both_ways(spark, sf_dir):
+def plain_bm25(docs, queries, k):
+    """docs: {doc_id: text}, queries: {query_id: text}; (query_id, rank, doc_id, score)."""
+    cut = {d: re.findall("[a-z0-9]+", (t or "").lower()) for d, t in docs.items()}
+    mean = sum(map(len, cut.values())) / max(len(cut), 1)
+    df = Counter(t for tokens in cut.values() for t in set(tokens))
+    out = []
+    for q, words in queries.items():
+        scores = {}
+        for d, tokens in cut.items():
+            tf, s = Counter(tokens), 0.0
+            for t, qtf in Counter(re.findall("[a-z0-9]+", words.lower())).items():
+                if tf[t]:
+                    idf = math.log(1 + (len(cut) - df[t] + 0.5) / (df[t] + 0.5))
+                    s += qtf * idf * tf[t] * 2.5 / (tf[t] + 1.5 * (0.25 + 0.75 * len(tokens) / mean))
+            if s > 0:
+                scores[d] = round(s, 9)
+        best = sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:k]
+        out += [(q, n + 1, d, round(s, 6)) for n, (d, s) in enumerate(best)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block_docs,chunk_terms,cells", [(64, 200_000, 1_000_000), (3, 5, 7)])
+def test_bm25_search(spark, monkeypatch, block_docs, chunk_terms, cells):
+    """Also with small blocks, several chunks of queries and sums in small pieces."""
+    for name, value in (("BLOCK_DOCS", block_docs), ("CHUNK_TERMS", chunk_terms), ("CELLS", cells)):
+        monkeypatch.setattr(postings, name, value)
+    rng = random.Random(6)
+    word = lambda: f"w{int(rng.paretovariate(0.6)) % 400}"  # noqa: E731  one word in most texts
+    docs = {i: " ".join(word() for _ in range(rng.randint(0, 40))) for i in range(300)} | {900: None, 901: "", 902: "W1 " * 500, 903: "only here"}
+    docs[905] = docs[3]  # ties
+    queries = {i: " ".join(word() for _ in range(rng.randint(1, 6))) for i in range(25)} | {50: "only", 51: "nowhere", 52: "", 53: "w1 w1 w1"}
+    d = spark.createDataFrame([*docs.items(), (None, "w1 w2")], "doc_id bigint, text string").repartition(3)
+    q = spark.createDataFrame(list(queries.items()), "query_id bigint, query string")
+    expected = plain_bm25(docs, queries, 5)
+    index = stored(X.bm25_index(d))
+    for found in (X.bm25_search(q, d, 5), X.bm25_index_search(q, index, 5)):
+        assert sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 6)) for r in found.collect()) == expected
+    assert X.bm25_search(q, d.limit(0), 5).count() == 0 and X.bm25_search(q.limit(0), d, 5).count() == 0
+
+
+def test_blocks_below_the_threshold_are_skipped():
+    asked = postings.Asked(1)
+    asked.add(pa.array([1, 1, 2]), pa.array(["a", "b", "b"]), pa.array([2.0, 1.0, 1.0]))
+    block = lambda weight: (pa.array(["a"]), np.array([weight]), np.array([1]), np.array([int(weight * 10)]), np.array([weight]))
+    assert [asked.meet(*block(w)) for w in (1.0, 0.4, 0.9, 1.2)] == [1, 0, 0, 1]
+    assert asked.found().to_pylist() == [{"query_id": 1, "doc_id": 12, "score": 2.4}]
+
+
+def test_index_bounds_hold_for_any_mean(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    queries = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    one = X.bm25_search(queries, docs, 5)
-    two = X.bm25_index_search(queries, X.postings(docs), X.corpus_stats(docs), 5)
-    columns = ["query_id", "rank", "doc_id"]
-    assert sorted(map(tuple, one.select(*columns).collect())) == sorted(map(tuple, two.select(*columns).collect()))
+    index = X.bm25_index(docs).where("term <> ''")
+    for mean in (3.0, 400.0):
+        weight = lambda r: postings.term_weight(r["tf"], r["length"], F.lit(mean))  # noqa: B023, E731
+        tops = index.select(F.array_max(F.transform("bounds", weight)).alias("a"), F.array_max(F.transform("postings", weight)).alias("b"), F.size("postings").alias("n"), F.col("n").alias("m"))
+        assert tops.where("a <> b OR n <> m").isEmpty()
 
 
 def test_best_probe_text_both_ways(spark, monkeypatch):
@@ -146,9 +227,3 @@ def test_best_probe_text_both_ways(spark, monkeypatch):
     monkeypatch.setattr(coverage, "PROBE_CHUNK", 4)
     two = sorted(map(tuple, coverage.best_probe_text(cases, probes, 0.3).select("case_no", "best_probe", "best_score", "covered").collect()))
     assert one == two
-
-
-def test_terms_outside_the_vocabulary(spark):
-    docs = spark.createDataFrame([(1, ["x", "y"]), (2, []), (3, ["x", "x"])], "doc_id bigint, tokens array<string>")
-    frequency, documents, total = term_join.vocabulary_stats(docs, ["x", "z"])
-    assert (frequency.tolist(), documents, total) == ([2.0, 0.0], 3, 4)

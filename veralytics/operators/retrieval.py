@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from datetime import datetime
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -14,13 +13,12 @@ from veralytics import dims
 from veralytics.functions import clock, text
 from veralytics.operators.contains_join import contains_join
 from veralytics.operators.medallion import gold_current
-from veralytics.operators.term_join import bm25_topk, vocabulary_stats
-from veralytics.operators.vector_join import is_bounded, keep_best, sent_if_small, vector_topk
-from veralytics.session import cut_lineage
+from veralytics.operators import postings
+from veralytics.operators.postings import idf, query_terms, term_weight
+from veralytics.operators.vector_join import vector_topk
+from veralytics.session import cut_lineage, stored
 
 Moment = datetime | str
-# (query, term) rows that may be sent to the tasks.
-SENT_TERMS = 200_000
 
 # --- documents -------------------------------------------------------------------
 
@@ -122,40 +120,23 @@ def dense_topk(queries: DataFrame, docs: DataFrame, n: int, by: str = "collectio
     return vector_topk(queries, docs, n, by)
 
 
-def _idf(documents: Column, with_term: Column) -> Column:
-    """Always positive: ln(1 + (N - n + 0.5) / (n + 0.5))."""
-    return F.log(1.0 + (documents - with_term + 0.5) / (with_term + 0.5))
-
-
-def _term_weight(tf: Column, length: Column, mean_length: Column) -> Column:
-    return tf * (C.BM25_K1 + 1.0) / (tf + C.BM25_K1 * (1.0 - C.BM25_B + C.BM25_B * length / mean_length))
-
-
-def query_terms(queries: DataFrame) -> DataFrame:
-    """(query_id, term, qtf): each term of a query with its number of occurrences."""
-    return (
-        queries.select("query_id", F.explode(text.tokenize(F.col("query"))).alias("term"))
-        .groupBy("query_id", "term")
-        .agg(F.count("*").alias("qtf"))
-    )
-
-
 def bm25_scores(pairs: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
     """Okapi BM25 (k1 = 1.5, b = 0.75) of each query's candidates, divided by the query's best.
 
     ``pairs`` (query_id, doc_id) are the candidates, ``docs`` (doc_id, text), ``queries``
     (query_id, query). Collection statistics are those of the query's own candidates. The
-    inverse document frequency is the always-positive form. A document is cut into tokens
-    once, however many queries it is a candidate of.
+    inverse document frequency is the always-positive form.
     """
-    terms = query_terms(queries)
-    wanted = docs.select("doc_id", "text").join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
-    lengths = wanted.select("doc_id", F.size(text.tokenize(F.col("text"))).alias("_length"))
+    terms = stored(query_terms(queries))
+    pairs = stored(pairs.select("query_id", "doc_id"))
+    # The candidates' texts are read once; pairs of known size let Spark leave the texts where they are.
+    wanted = stored(docs.select("doc_id", "text").join(pairs.select("doc_id").distinct(), "doc_id", "left_semi"))
+    lengths = wanted.select("doc_id", F.coalesce(F.size(text.tokenize(F.col("text"))), F.lit(0)).alias("_length"))
+    found = postings.postings(wanted).join(terms.select("term").distinct(), "term", "left_semi")
+    tf = stored(pairs.join(found, "doc_id").join(terms, ["query_id", "term"]))
     stats = pairs.join(lengths, "doc_id").groupBy("query_id").agg(F.count("*").alias("_n"), F.avg("_length").alias("_mean"))
-    # Term counts of the candidates: small next to the texts and read several times, so made once.
-    tf = cut_lineage(pairs.join(postings(wanted, terms), "doc_id").join(terms, ["query_id", "term"]))
     df = tf.groupBy("query_id", "term").agg(F.count("*").alias("_df"))
-    weight = F.col("qtf") * _idf(F.col("_n"), F.col("_df")) * _term_weight(F.col("tf"), F.col("length"), F.col("_mean"))
+    weight = F.col("qtf") * idf(F.col("_n"), F.col("_df")) * term_weight(F.col("tf"), F.col("length"), F.col("_mean"))
     raw = (
         tf.join(df.join(stats, "query_id"), ["query_id", "term"])
         .groupBy("query_id", "doc_id")
@@ -170,68 +151,19 @@ def bm25_scores(pairs: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFr
     )
 
 
-def corpus_stats(docs: DataFrame) -> DataFrame:
-    """One row: number of documents and their mean length in tokens."""
-    return docs.agg(F.count("*").alias("documents"), F.avg(F.size(text.tokenize(F.col("text")))).alias("mean_length"))
-
-
-def postings(docs: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
-    """Inverted index rows (doc_id, term, tf, length), partitioned by document.
-
-    With a vocabulary only its terms are kept, before anything is moved.
-    """
-    cut = docs.select("doc_id", text.tokenize(F.col("text")).alias("_tokens"))
-    terms = cut.select("doc_id", F.size("_tokens").alias("length"), F.explode("_tokens").alias("term"))
-    if vocabulary is not None:
-        terms = terms.join(sent_if_small(vocabulary.select("term").distinct(), SENT_TERMS), "term", "left_semi")
-    # Hash by document once: this grouping and the scoring by (document, query) both keep it.
-    return terms.repartition("doc_id").groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
+def bm25_index(docs: DataFrame) -> DataFrame:
+    """The inverted index of a corpus in blocks, to be written once and searched often."""
+    return postings.block_index(docs)
 
 
 def bm25_search(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """Top k documents per query by BM25 over the whole corpus: (query_id, doc_id, score, rank).
+    """Top k documents per query by BM25 over the whole corpus: (query_id, doc_id, score, rank)."""
+    return postings.search(queries, docs, k)
 
-    A query set of bounded size is sent to the tasks that read the documents and only the
-    best k per query and task are exchanged. A larger set, or a stored index, goes through
-    ``bm25_index_search``.
-    """
-    terms = query_terms(queries)
-    if not (is_bounded(queries) and is_bounded(terms, SENT_TERMS)):
-        return bm25_index_search(queries, postings(docs, terms), corpus_stats(docs), k)
-    asked = terms.toPandas()  # at most SENT_TERMS rows
-    vocabulary = sorted(set(asked["term"]))
-    query_ids = np.sort(asked["query_id"].unique())
-    place = {term: i for i, term in enumerate(vocabulary)}
-    tokens = docs.select("doc_id", text.tokenize(F.col("text")).alias("tokens"))
-    frequency, documents, total = vocabulary_stats(tokens, vocabulary)
-    idf = np.log(1.0 + (documents - frequency + 0.5) / (frequency + 0.5))
-    weights = np.zeros((len(vocabulary), len(query_ids)))
-    rows = asked["term"].map(place).to_numpy()
-    weights[rows, np.searchsorted(query_ids, asked["query_id"])] = asked["qtf"].to_numpy() * idf[rows]
-    mean = total / documents if total else 1.0
-    return keep_best(bm25_topk(tokens, vocabulary, query_ids, weights, mean, k), k, [])
-
-
-def bm25_index_search(queries: DataFrame, index: DataFrame, stats: DataFrame, k: int) -> DataFrame:
-    """The same over an inverted index, for any number of queries.
-
-    ``index`` comes from ``postings`` and ``stats`` from ``corpus_stats``. A document's rows
-    are already together, so its scores are added up where they are; the rank filter then
-    keeps k rows per query and task before the only exchange by query.
-    """
-    terms = query_terms(queries)
-    frequency = index.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("_df"))
-    corpus = stats.select(F.struct("documents", "mean_length")).scalar()
-    documents, mean = corpus["documents"], corpus["mean_length"]
-    asked = terms.join(frequency, "term").select("query_id", "term", (F.col("qtf") * _idf(documents, F.col("_df"))).alias("_weight"))
-    scored = (
-        index.join(asked, "term")
-        .groupBy("doc_id", "query_id")
-        .agg(F.sum(F.col("_weight") * _term_weight(F.col("tf"), F.col("length"), mean)).alias("_score"))
-        .withColumn("score", F.round("_score", 9))
-        .drop("_score")
-    )
-    return keep_best(scored, k, [])
+
+def bm25_index_search(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """The same over a stored index of ``bm25_index``."""
+    return postings.search_index(queries, index, k)
 
 
 def hybrid_search(

@@ -35,70 +35,6 @@ def _flat(column) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return lengths, lists.flatten(), np.repeat(np.arange(len(lengths)), lengths)
 
 
-def _counts(column, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(lengths, row, term, occurrences) of the tokens that are in the vocabulary."""
-    lengths, tokens, row = _flat(column)
-    found = pc.index_in(tokens, value_set=vocabulary)
-    known = pc.is_valid(found).to_numpy(zero_copy_only=False)
-    term = pc.fill_null(found, 0).to_numpy(zero_copy_only=False)[known].astype(np.int64)
-    key, occurrences = np.unique(row[known] * len(vocabulary) + term, return_counts=True)
-    return lengths, key // len(vocabulary), key % len(vocabulary), occurrences
-
-
-def vocabulary_stats(docs: DataFrame, vocabulary: list[str]) -> tuple[np.ndarray, int, int]:
-    """(documents with each term, number of documents, total length) of ``docs`` (tokens)."""
-    terms = docs.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = pa.array(terms.value, pa.string())
-        with_term, documents, total = np.zeros(len(words), np.int64), 0, 0
-        for batch in batches:
-            lengths, _, term, _ = _counts(batch.column(0), words)
-            with_term += np.bincount(term, minlength=len(words))
-            documents += len(lengths)
-            total += int(lengths.sum())
-        seen = np.flatnonzero(with_term)
-        yield pa.RecordBatch.from_pydict(
-            {"term": pa.array([-1, -2, *seen.tolist()], pa.int64()), "n": pa.array([documents, total, *with_term[seen].tolist()], pa.int64())}
-        )
-
-    sums = docs.select("tokens").mapInArrow(scan, "term bigint, n bigint").groupBy("term").sum("n")
-    found = {row[0]: row[1] for row in sums.collect()}  # one row per term of the bounded vocabulary
-    frequency = np.array([found.get(i, 0) for i in range(len(vocabulary))], np.float64)
-    return frequency, int(found.get(-1, 0)), int(found.get(-2, 0))
-
-
-def bm25_topk(docs: DataFrame, vocabulary: list[str], query_ids: np.ndarray, weights: np.ndarray, mean: float, k: int) -> DataFrame:
-    """Best k documents per query and task: (query_id, doc_id, score).
-
-    ``docs`` (doc_id, tokens); ``weights`` holds query term count times idf, one row per
-    vocabulary term and one column per query.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, query_ids, weights))
-    k1, b, digits, block = C.BM25_K1, C.BM25_B, SCORE_DIGITS, ROW_BLOCK
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, ids, weight = sent.value
-        words, kept = pa.array(terms, pa.string()), None
-        for batch in batches:
-            doc_ids = batch.column(0).to_numpy(zero_copy_only=False)
-            lengths, row, term, count = _counts(batch.column(1), words)
-            value = count * (k1 + 1.0) / (count + k1 * (1.0 - b + b * lengths[row] / mean)) if len(row) else count
-            for start in range(0, len(doc_ids), block):
-                stop = min(start + block, len(doc_ids))
-                part = slice(*np.searchsorted(row, [start, stop]))
-                matrix = np.zeros((stop - start, len(words)))
-                matrix[row[part] - start, term[part]] = value[part]
-                scores = np.round(matrix @ weight, digits).T
-                scores[scores <= 0.0] = -np.inf
-                found = best_of(ids, doc_ids[start:stop], scores, k)
-                kept = merge_best(kept, found[found["score"] > 0.0], k)
-        if kept is not None:
-            yield pa.RecordBatch.from_pandas(kept[["query_id", "doc_id", "score"]], preserve_index=False)
-
-    return docs.select("doc_id", "tokens").mapInArrow(scan, "query_id bigint, doc_id bigint, score double")
-
-
 def nearest_by_words(rows: DataFrame, anchors: pd.DataFrame, by: str) -> DataFrame:
     """Rows with the best anchor of the same ``by`` by Jaccard of word sets.
 

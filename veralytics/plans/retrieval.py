@@ -9,7 +9,7 @@ from veralytics.functions import text
 from veralytics.operators import retrieval as X
 from veralytics.plans.medallion import _silver
 from veralytics.plans.registry import query
-from veralytics.session import cut_lineage
+from veralytics.session import cut_lineage, stored
 from veralytics.sources.fixtures import AS_OF, ORACLE_PARTS, Tables
 
 _COS = "list_cosine_similarity(CAST({a}.embedding AS DOUBLE[]), CAST({b}.embedding AS DOUBLE[]))"
@@ -172,9 +172,7 @@ def _bench(t: Tables) -> DataFrame:
 
 @query("bm25_index_search", _BM25)
 def _(t: Tables) -> DataFrame:
-    queries = _bench(t)
-    index = X.postings(t["documents"], X.query_terms(queries))
-    return X.bm25_index_search(queries, index, X.corpus_stats(t["documents"]), 10).withColumn("score", F.round("score", 6))
+    return X.bm25_index_search(_bench(t), stored(X.bm25_index(t["documents"])), 10).withColumn("score", F.round("score", 6))
 
 
 @query(
