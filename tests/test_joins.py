@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veralytics.operators import contains_join as contains_join_module
-from veralytics.operators import coverage, medallion, postings, vector_join
+from veralytics.operators import coverage, medallion, postings, vector_index, vector_join
 from veralytics.operators import injection as I
 from veralytics.operators import retrieval as X
 from veralytics.operators import value as V
@@ -150,6 +150,58 @@ def test_vectors_that_are_not_whole_take_no_part(spark):
     assert got == [(1, 1, 1), (1, 2, 5), (5, 1, 5), (5, 2, 1)]
 
 
+def test_vectors_with_odd_components_cost_no_good_hit(spark):
+    """A null, NaN, infinite or shorter vector neither appears nor hides another one."""
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, "a", [1.0, 0.0]), (2, "a", [nan, 1.0]), (3, "a", [inf, 1.0]), (4, "a", [1.0]), (5, "a", [0.6, 0.8]), (6, None, [1.0, 0.0]), (7, "a", [0.0, 0.0])]
+    d = spark.createDataFrame(rows, "doc_id bigint, g string, embedding array<double>")
+    q = d.withColumnRenamed("doc_id", "query_id")
+    expected = [(1, 1, 1), (1, 2, 5), (4, 1, 4), (5, 1, 5), (5, 2, 1), (7, 1, 1), (7, 2, 5)]
+    index = vector_index.build(d, "g", clusters=2)
+    for found in (vector_join.vector_topk(q, d, 2, "g"), vector_index.search(q, index, 2, "g")):
+        assert sorted((r.query_id, r["rank"], r.doc_id) for r in found.collect()) == expected
+        assert found.columns[-1] == "rank" and {r.g for r in found.collect()} == {"a"}
+    near = {r.query_id: r.doc_id for r in vector_join.nearest(q, d, "g").collect()}
+    assert near == {1: 1, 4: 4, 5: 5, 7: 1}
+
+
+def clustered(spark, n, seed, spread, dim=16, groups=12):
+    rng = np.random.default_rng(seed)
+    heads = rng.normal(size=(groups, dim))
+    rows = [(i, "ab"[i % 5 == 0], (heads[i % groups] + spread * rng.normal(size=dim)).tolist()) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "doc_id bigint, g string, embedding array<double>")
+
+
+@pytest.mark.parametrize("spread,part_rows", [(0.1, 16_384), (1.0, 7)])
+def test_vector_index(spark, monkeypatch, tmp_path, spread, part_rows):
+    """Exact search equals the plain one, also in small parts and after a round trip; clusters are left out where bounds allow."""
+    monkeypatch.setattr(vector_index, "PART_ROWS", part_rows)
+    _, d = clustered(spark, 400, 5, spread)
+    q = d.where("doc_id % 9 = 0").withColumnRenamed("doc_id", "query_id")
+    vector_index.build(d, "g", clusters=12).write(str(tmp_path / "index"))
+    index = vector_index.VectorIndex.read(spark, str(tmp_path / "index"))
+    assert index.rows.count() == 400  # every row is indexed
+    rows = lambda df: sorted((r.query_id, r.g, r["rank"], r.doc_id, round(r.score, 9)) for r in df.collect())
+    exact = rows(vector_index.search(q, index, 4, "g"))
+    assert exact == rows(vector_join.vector_topk(q, d, 4, "g"))
+    asked = vector_index.Search(q, index, 4, "g")
+    if spread < 0.5:
+        assert asked.open_probes()[1].count() * 2 < asked.probes.count()
+    fast = rows(vector_index.search(q, index, 4, "g", probes=vector_index.probes_for(index, 4)))
+    assert len({r[:2] + (r[3],) for r in fast} & {r[:2] + (r[3],) for r in exact}) >= 0.9 * len(exact)
+
+
+def test_fast_search_recall_on_whole_embeddings(spark):
+    """Vectors that point everywhere alike: the hardest case for clusters."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    d = rows.select(F.col("vec_id").alias("doc_id"), F.lit("all").alias("g"), "embedding")
+    q = d.where("doc_id % 17 = 0").withColumnRenamed("doc_id", "query_id")
+    index = vector_index.build(d, "g", clusters=32)
+    pairs = lambda df: {(r.query_id, r.doc_id) for r in df.collect()}
+    exact, fast = pairs(vector_index.search(q, index, 10, "g")), pairs(vector_index.search(q, index, 10, "g", vector_index.probes_for(index, 10)))
+    assert len(exact & fast) >= 0.9 * len(exact)
+
+
 def test_upsert_keeps_the_later_row(spark):
     old = spark.createDataFrame([("1", "old"), ("2", "stays")], "doc_id string, text string")
     new = spark.createDataFrame([("1", "zz first", 1), ("1", "aa last", 2), ("3", "new", 1)], "doc_id string, text string, at int")

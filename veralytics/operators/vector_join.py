@@ -15,32 +15,31 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 # The functions of this module travel to the tasks by value.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Rows of a side that is sent whole to every task: at most this many.
-SENT_ROWS = 2_048
+# Rows of a side that is sent whole to every task, and components of their vectors: at most this many.
+SENT_ROWS, SENT_COMPONENTS = 2_048, 8_000_000
 DOC_BLOCK = 65_536
 # Scores are ranked at twelve digits, so the order does not hang on how blocks were cut.
 RANK_DIGITS = 12
 
 
 def is_bounded(df: DataFrame, rows: int = SENT_ROWS) -> bool:
-    """Does the table have at most so many rows? Reads no further than that."""
-    return df.limit(rows + 1).count() <= rows
+    """Does the table have at most so many rows, and its vectors so many components? Reads no further than that."""
+    size = F.sum(F.size("embedding")) if "embedding" in df.columns else F.lit(0)
+    n, components = df.limit(rows + 1).agg(F.count("*"), size).first()
+    return n <= rows and (components or 0) <= SENT_COMPONENTS
 
 
-def sent_if_small(df: DataFrame, rows: int) -> DataFrame:
-    """Mark a join side to be broadcast when it has at most so many rows, else leave it to Spark.
-
-    Size estimates of exploded or grouped tables are far too high, and a shuffle join would
-    then move the big side by a key as skewed as words are.
-    """
-    return F.broadcast(df) if is_bounded(df, rows) else df
+def whole_vector(name: str) -> Column:
+    """Not null, not empty, all components given and finite."""
+    fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    return F.coalesce((F.size(name) > 0) & F.forall(F.col(name).cast("array<double>"), fine), F.lit(False))
 
 
 def unit(vectors: pd.Series) -> np.ndarray:
@@ -75,20 +74,27 @@ def merge_best(kept: pd.DataFrame | None, found: pd.DataFrame, k: int) -> pd.Dat
 
 
 def _typed(df: DataFrame, key: str, by: str) -> DataFrame:
-    """Rows with a whole vector: null or empty ones and those that hold a null take no part."""
-    whole = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull())
-    return df.where(whole).select(F.col(key).cast("bigint").alias(key), F.col(by).cast("string").alias(by), "embedding")
+    """Rows that take part: a key, a ``by`` and a whole vector; ``by`` is marked with the vector's length."""
+    marked = F.concat(F.size("embedding").cast("string"), F.lit(":"), F.col(by).cast("string"))
+    kept = df.where(whole_vector("embedding") & F.col(key).isNotNull() & F.col(by).isNotNull())
+    return kept.select(F.col(key).cast("bigint").alias(key), marked.alias(by), "embedding")
+
+
+def _unmarked(found: DataFrame, by: str) -> DataFrame:
+    return found.withColumn(by, F.regexp_replace(by, r"^[0-9]+:", ""))
 
 
 def vector_topk(queries: DataFrame, docs: DataFrame, k: int, by: str) -> DataFrame:
     """Top k documents per (query_id, by) by cosine similarity clipped to 0..1.
 
     ``queries`` (query_id BIGINT, by STRING, embedding), ``docs`` (doc_id BIGINT, by STRING,
-    embedding); only rows with the same ``by`` meet. Returns (query_id, by, doc_id, score, rank).
+    embedding); only rows with the same ``by`` and vectors of one length meet. Vectors that are
+    null, empty or hold a null or non-finite component take no part. Returns (query_id, by,
+    doc_id, score, rank).
     """
     asked, stored = _typed(queries, "query_id", by), _typed(docs, "doc_id", by)
     local = _sent_queries(asked, stored, k, by) if is_bounded(asked) else _blocks(asked, stored, k, by)
-    return keep_best(local, k, [by])
+    return _unmarked(keep_best(local, k, [by]), by)
 
 
 def keep_best(local: DataFrame, k: int, by: list[str]) -> DataFrame:
@@ -105,7 +111,7 @@ def nearest(rows: DataFrame, anchors: DataFrame, by: str) -> DataFrame:
     """
     asked, stored = _typed(rows, "query_id", by), _typed(anchors, "doc_id", by)
     if not is_bounded(stored):
-        return keep_best(_blocks(asked, stored, 1, by), 1, [by]).drop("rank")
+        return _unmarked(keep_best(_blocks(asked, stored, 1, by), 1, [by]).drop("rank"), by)
     sent = stored.toPandas().sort_values("doc_id")  # at most SENT_ROWS rows
     groups = {key: (part["doc_id"].to_numpy(), unit(part["embedding"])) for key, part in sent.groupby(by)}
     known = rows.sparkSession.sparkContext.broadcast(groups)
@@ -122,7 +128,7 @@ def nearest(rows: DataFrame, anchors: DataFrame, by: str) -> DataFrame:
                     {"query_id": part["query_id"], "doc_id": ids[first], "score": scores[np.arange(len(first)), first], by: key}
                 )
 
-    return asked.mapInPandas(scan, f"query_id bigint, doc_id bigint, score double, {by} string")
+    return _unmarked(asked.mapInPandas(scan, f"query_id bigint, doc_id bigint, score double, {by} string"), by)
 
 
 def _sent_queries(asked: DataFrame, stored: DataFrame, k: int, by: str) -> DataFrame:

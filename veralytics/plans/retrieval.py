@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veralytics.functions import text
 from veralytics.operators import retrieval as X
+from veralytics.operators import vector_index
 from veralytics.plans.medallion import _silver
 from veralytics.plans.registry import query
 from veralytics.session import cut_lineage, stored
@@ -129,6 +130,22 @@ def _(t: Tables) -> DataFrame:
     return dense(t).withColumn("score", F.round("score", 6))
 
 
+# Small clusters, so that the exact search has clusters to leave out.
+def _clusters(t: Tables) -> vector_index.VectorIndex:
+    return vector_index.build(t["embeddings"].select(F.col("vec_id").alias("doc_id"), F.lit("all").alias("g"), "embedding"), "g", clusters=32)
+
+
+@query(
+    "vector_index_search",
+    f"""SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
+        SELECT q.query_id, d.vec_id AS doc_id, round(greatest({COS}, 0), 12) AS score FROM {{fx_queries}} q, {{embeddings}} d)) WHERE rank <= 10""",
+)
+def _(t: Tables) -> DataFrame:
+    found = vector_index.search(t["fx_queries"].withColumn("g", F.lit("all")), _clusters(t), 10, "g")
+    return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
 # BM25 inside each query's own candidates.
 ORACLE_PARTS["ox_cand"] = "SELECT c.query_id, q.query, c.doc_id, c.score AS dense, d.text FROM {ox_dense} c JOIN {ox_ask} q USING (query_id) JOIN {fx_docs} d USING (doc_id)"
 ORACLE_PARTS["ox_bm25"] = f"""
