@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from veralytics.sources import profiles as P
-from veralytics.sources import readers, schemas, sinks
+from veralytics.sources import merge, readers, schemas, sinks
 
 
 def test_event_log_drops_bad_lines(spark, tmp_path):
@@ -94,3 +94,60 @@ def test_session_zone_does_not_matter(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert row[0] == "2024-03-10 02:30:00"
+
+
+def _files(path):
+    return {str(p.relative_to(path)): p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
+
+
+def test_upsert_rewrites_only_touched_partitions(spark, tmp_path):
+    path = tmp_path / "index"
+    docs = spark.range(200).select(
+        F.concat(F.lit("d"), "id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "gold").otherwise("bronze").alias("layer"),
+        F.concat(F.lit("dom"), F.col("id") % 3).alias("domain"), F.concat(F.lit("e"), F.col("id") % 5).alias("entity"),
+        F.lit(1.0).alias("boost"), F.lit(None).cast("timestamp_ntz").alias("boosted_at"), F.lit("old").alias("text"),
+    )
+    merge.rebuild_index(docs, str(path))
+    probe = docs.limit(1).withColumns({"doc_id": F.lit("p"), "layer": F.lit("probe_history"), "at": F.lit(1)})
+    assert merge.upsert_index(probe, str(path), "at") == 1
+    before = _files(path)
+    rows = [("d0", "first", 1), ("d0", "last", 2), ("new", "added", 1)]
+    incoming = spark.createDataFrame(rows, "doc_id string, text string, at int").withColumns(
+        {"layer": F.lit("gold"), "domain": F.lit("dom0"), "entity": F.lit("e0"), "boost": F.lit(1.0), "boosted_at": F.lit(None).cast("timestamp_ntz")}
+    )
+    n = merge.upsert_index(incoming, str(path), "at")
+    after = _files(path)
+    changed = {f.rsplit("/", 1)[0] for f in before.keys() ^ after.keys()}
+    assert 1 <= n <= 2 and len(changed) == n and all(f.startswith("layer=gold/domain=dom0/") for f in changed)
+    assert all(after[f] == t for f, t in before.items() if f.rsplit("/", 1)[0] not in changed)
+    table = spark.read.parquet(str(path))
+    assert table.count() == 202
+    assert {r.doc_id: r.text for r in table.where("text <> 'old'").collect()} == {"d0": "last", "new": "added"}
+    # A boost touches gold alone; without a hit nothing is written.
+    corrections = spark.createDataFrame([("dom1", "e4")], "domain string, entity string")
+    before = _files(path)
+    assert merge.boost_index(corrections, str(path), "2024-01-01 00:00:00") > 0
+    assert all(f.startswith("layer=gold/domain=dom1/") for f in before.keys() ^ _files(path).keys())
+    assert merge.boost_index(corrections.withColumn("entity", F.lit("none")), str(path), "2024-01-01 00:00:00") == 0
+    assert {tuple(r) for r in spark.read.parquet(str(path)).where("boost > 1").select("layer", "domain", "entity").distinct().collect()} == {("gold", "dom1", "e4")}
+    # A rebuild keeps the probe history and drops what is no longer there.
+    merge.rebuild_index(docs.where("layer = 'gold' AND domain <> 'dom2'"), str(path))
+    assert {tuple(r) for r in spark.read.parquet(str(path)).select("layer", "domain").distinct().collect()} == {("gold", "dom0"), ("gold", "dom1"), ("probe_history", "dom0")}
+
+
+def test_fact_and_outcome_tables_are_changed_in_place(spark, tmp_path):
+    gold, outcomes = str(tmp_path / "gold"), str(tmp_path / "outcomes")
+    facts = [("a", f"e{i}", str(i), False, None) for i in range(30)] + [("b", "e1", "1", False, None)]
+    merge.write_rows(spark.createDataFrame(facts, "domain string, entity string, value string, fle_flagged boolean, fle_correct_value string"), gold, "entity")
+    names = "signal_id string, domain string, entity string, routing_action string, correct_value string, applied boolean, signal_ts string"
+    signals = [("1", "a", "e3", "flag_gold_and_reprobe", "33", True, "1"), ("2", "a", "e3", "flag_gold_and_reprobe", "34", True, "2"), ("3", "c", "e3", "flag_gold_and_reprobe", "9", True, "1")]
+    before = _files(tmp_path / "gold")
+    assert merge.flag_gold_table(spark.createDataFrame(signals, names), gold) == 1
+    assert len({f.rsplit("/", 1)[0] for f in before.keys() ^ _files(tmp_path / "gold").keys()}) == 1
+    assert [(r.domain, r.entity, r.fle_correct_value) for r in spark.read.parquet(gold).where("fle_flagged").collect()] == [("a", "e3", "34")]
+    assert spark.read.parquet(gold).count() == 31
+    rows = [(i, "ab"[i % 2], i % 4 == 0) for i in range(40)]
+    merge.write_rows(spark.createDataFrame(rows, "outcome_id long, domain string, correction_applied boolean"), outcomes, "outcome_id")
+    injections = spark.createDataFrame([("a",)], "domain string")
+    assert merge.tag_injection_table(injections, outcomes) > 0 and merge.tag_injection_table(injections, outcomes) == 0
+    assert {(r.outcome_id, r.correction_applied) for r in spark.read.parquet(outcomes).collect()} == {(i, c or d == "a") for i, d, c in rows}

@@ -12,7 +12,7 @@ from veralytics.operators import schedule as H
 from veralytics.operators import scoring as S
 from veralytics.plans.registry import query
 from veralytics.sources import profiles as P
-from veralytics.sources import readers, schemas, sinks
+from veralytics.sources import merge, readers, schemas, sinks
 from veralytics.sources.fixtures import AS_OF, Tables
 
 
@@ -165,3 +165,44 @@ def _(t: Tables) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     return P.domain_label(t["fx_profiles"]).select("domain_key", "label")
+
+
+# Documents as an index table, pages upserted twice each, then boosts; one stored probe must outlive it all.
+_AT = "'d' || CAST({n} AS STRING) AS doc_id, CASE {n} % 3 WHEN 0 THEN 'gold' WHEN 1 THEN 'silver' ELSE 'bronze' END AS layer, d.domain, 'e' || CAST({n} % 10 AS STRING) AS entity"
+
+
+@query(
+    "index_merge",
+    f"""SELECT doc_id, layer, domain, entity, text, CASE WHEN hit THEN CAST(1.5 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS boost,
+      CASE WHEN hit THEN TIMESTAMP '{AS_OF}' END AS boosted_at
+    FROM (SELECT *, layer = 'gold' AND (domain, entity) IN (
+        SELECT d.domain, 'e' || CAST(doc_id % 10 AS STRING) FROM {{labels}} JOIN {{fx_domains}} d ON d.domain_id = doc_id % 7 WHERE toxic = 1) AS hit FROM (
+      SELECT {_AT.format(n="doc_id")}, text FROM {{documents}} JOIN {{fx_domains}} d ON d.domain_id = doc_id % 7 WHERE doc_id NOT IN (SELECT page_id FROM {{pages}})
+      UNION ALL SELECT {_AT.format(n="page_id")}, CASE WHEN page_id % 2 = 0 THEN url ELSE html END FROM {{pages}} JOIN {{fx_domains}} d ON d.domain_id = page_id % 7
+      UNION ALL SELECT 'p1', 'probe_history', 'coupons', 'e0', 'kept'))""",
+)
+def _(t: Tables) -> DataFrame:
+    path = f"{sinks.scratch(t.spark)}/index"
+
+    def docs(rows: DataFrame, n: str, *more) -> DataFrame:
+        n = F.col(n)
+        layer = F.when(n % 3 == 0, "gold").when(n % 3 == 1, "silver").otherwise("bronze")
+        placed = rows.join(t.domains.select("domain_id", "domain"), F.col("domain_id") == n % 7)
+        return placed.select(
+            F.concat(F.lit("d"), n.cast("string")).alias("doc_id"), layer.alias("layer"), "domain", F.concat(F.lit("e"), (n % 10).cast("string")).alias("entity"),
+            F.lit(1.0).alias("boost"), F.lit(None).cast("timestamp_ntz").alias("boosted_at"), *more,
+        )
+
+    probe = t.spark.range(1).select(
+        F.lit("p1").alias("doc_id"), F.lit(merge.HISTORY).alias("layer"), F.lit("coupons").alias("domain"), F.lit("e0").alias("entity"),
+        F.lit(1.0).alias("boost"), F.lit(None).cast("timestamp_ntz").alias("boosted_at"), F.lit("kept").alias("text"), F.lit(1).alias("at"),
+    )
+    rows = docs(t["documents"], "doc_id", "text")
+    merge.rebuild_index(rows.where(F.col("layer") == "gold"), path)
+    merge.upsert_index(probe, path, "at")
+    merge.rebuild_index(rows, path)
+    again = F.array(F.struct(F.lit(1).alias("at"), F.col("html").alias("text")), F.struct((F.expr("page_id % 2 = 0").cast("int") * 2).alias("at"), F.col("url").alias("text")))
+    merge.upsert_index(docs(t["pages"], "page_id", F.inline(again)), path, "at")
+    toxic = t["labels"].where("toxic = 1").join(t.domains.select("domain_id", "domain"), F.col("domain_id") == F.col("doc_id") % 7)
+    merge.boost_index(toxic.select("domain", F.concat(F.lit("e"), (F.col("doc_id") % 10).cast("string")).alias("entity")), path, AS_OF)
+    return t.spark.read.parquet(path).select("doc_id", "layer", "domain", "entity", "text", "boost", "boosted_at")
