@@ -3,7 +3,7 @@
 A message is a list of parts: text, image, audio or document. A visitor turns
 each part into its text: texts are escaped, attachments become placeholders
 numbered through the conversation, with a record of what they refer to and how
-many tokens they expand to. Turns are framed by control strings; a text that
+many tokens they expand to. Texts that stand side by side are one text. Turns are framed by control strings; a text that
 holds one gets a backslash behind its ``<``, one more than it had, so the frame
 can be told from the text and the text comes back exactly.
 """
@@ -71,10 +71,21 @@ def _turns(messages: DataFrame) -> DataFrame:
         """The attachment's number in the conversation, for the part at index ``i`` of its message."""
         return F.col("before") + F.size(F.filter(F.slice("parts", 1, i + 1), is_attachment))
 
-    def visit(part: Column, i: Column) -> Column:
-        return F.when(
-            is_attachment(part), F.concat(F.lit("<"), part["type"], F.lit(" "), number(i).cast("string"), F.lit(">"))
-        ).otherwise(escape(F.coalesce(part["text"], F.lit(""))))
+    # Neighbouring texts are one text before it is escaped, so no control string can be put together from parts.
+    placed = F.transform(
+        "parts",
+        lambda p, i: F.struct(
+            F.when(is_attachment(p), F.concat(F.lit("<"), p["type"], F.lit(" "), number(i).cast("string"), F.lit(">"))).alias("mark"),
+            F.coalesce(p["text"], F.lit("")).alias("text"),
+        ),
+    )
+
+    def visit(seen: Column, part: Column) -> Column:
+        ended = F.concat(seen["done"], escape(seen["open"]), part["mark"])
+        return F.struct(
+            F.when(part["mark"].isNull(), seen["done"]).otherwise(ended).alias("done"),
+            F.when(part["mark"].isNull(), F.concat(seen["open"], part["text"])).otherwise(F.lit("")).alias("open"),
+        )
 
     attached = F.filter(
         F.transform(
@@ -91,7 +102,8 @@ def _turns(messages: DataFrame) -> DataFrame:
     )
     role = F.regexp_replace(escape(F.col("role")), r"([%\n>])", "%$1")  # a role ends at the first bare ">"
     head = F.concat(F.lit(OPEN), role, F.lit(">\n"))
-    body = F.array_join(F.transform("parts", visit), "")
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("open"))
+    body = F.aggregate(placed, start, visit, lambda seen: F.concat(seen["done"], escape(seen["open"])))
     return rows.select(
         "conv_id", "n", F.concat(head, body, F.lit(END)).alias("framed"), attached.alias("attached"),
         F.when(F.col("role") == "assistant", F.struct("n", (F.length(head) + 1).alias("start"), F.length(body).alias("length"))).alias("loss"),

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veralytics.llm import sentencepiece
 from veralytics.llm.common import kept, sliced
 from veralytics.llm.labelled import SAMPLE_ROWS, labelled_sample
 from veralytics.llm.text_stats import BASE, FEATURES, text_stats
@@ -180,6 +181,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, least_score: float = LEAST_SCO
     forest = fit(kept(stats_table(train)), labels, rows)
 
     def good(text: pa.Array) -> pa.Array:
+        sentencepiece.Encoder.kept.clear()  # a worker that has encoded before need not hold its words through other stages
         keep = [np.zeros(0, bool)]
         for _, texts in sliced(pa.RecordBatch.from_arrays([text], ["text"])):
             stats = text_stats(texts)
