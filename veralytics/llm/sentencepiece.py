@@ -195,14 +195,14 @@ class Encoder:
 
     kept: dict[str, Encoder] = {}
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary, self.known = vocabulary, {}
+    def __init__(self, vocabulary: Vocabulary, remembered: int = REMEMBERED):
+        self.vocabulary, self.known, self.remembered = vocabulary, {}, remembered
 
     @classmethod
-    def of(cls, path: str, vocabulary: Vocabulary) -> Encoder:
-        name = f"{path}:{len(vocabulary.ids)}:{hash(tuple(vocabulary.scores))}"
+    def of(cls, path: str, vocabulary: Vocabulary, remembered: int = REMEMBERED) -> Encoder:
+        name = f"{path}:{len(vocabulary.ids)}:{hash(tuple(vocabulary.scores))}:{remembered}"
         if name not in cls.kept:
-            cls.kept = {name: cls(vocabulary)}
+            cls.kept = {name: cls(vocabulary, remembered)}
         return cls.kept[name]
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -211,7 +211,7 @@ class Encoder:
         split = [v.words(t or "") for t in texts]
         counts = np.array([len(w) for w in split], np.int64)
         code, distinct = pd.factorize(np.array([w for ws in split for w in ws], dtype=object))
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self.known.clear()
         self.known.update(v.split_all([w for w in distinct if w not in self.known]))
         pieces = [self.known[w] for w in distinct]
@@ -225,18 +225,19 @@ class Encoder:
         return flat[np.repeat(start, each) + place] if len(flat) else flat, np.diff(edges)
 
 
-def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
+def encode(docs: DataFrame, model: str = MODEL, remembered: int = REMEMBERED) -> DataFrame:
     """doc_id, ids, n_tokens, round_trip (decoding gives the text back), one row per row of ``docs``.
 
     A null text has null ids, 0 tokens and no round trip (null); an empty one has
     no ids. A text that holds U+2581 itself comes back with spaces there, as with
     any SentencePiece model, so its round trip is false. Repeated rows come out
-    alike, only doc_id and text are read, and an empty table gives no rows.
+    alike, only doc_id and text are read, and an empty table gives no rows. A worker
+    remembers about ``remembered`` words at most: fewer take less memory and more time.
     """
     vocabulary = Vocabulary.load(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(model, vocabulary)
+        encoder = Encoder.of(model, vocabulary, remembered)
         for batch in batches:
             for part, own in sliced(batch, CHUNK_CHARS):
                 flat, counts = encoder(own)
