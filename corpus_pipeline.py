@@ -17,10 +17,13 @@ from veralytics.llm.common import shared_folder, table
 
 # Near duplicates: shingles of five words, similarity of 0.8 or more.
 WORDS, PERCENT = 5, 80
+# Bytes of texts that go to a Python worker at once, and words that one remembers: all stages share one application's memory.
+BATCH_BYTES, REMEMBERED = 2_000_000, 100_000
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep; sets the session's Arrow batches for this and all later stages."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return quality_rules.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
@@ -41,7 +44,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document of the mix."""
-    return sentencepiece.encode(docs)
+    return sentencepiece.encode(docs, remembered=REMEMBERED)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
