@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from veralytics.operators import events as E
 from veralytics.sources import profiles as P
 from veralytics.sources import merge, readers, schemas, sinks
 
@@ -151,3 +152,22 @@ def test_fact_and_outcome_tables_are_changed_in_place(spark, tmp_path):
     injections = spark.createDataFrame([("a",)], "domain string")
     assert merge.tag_injection_table(injections, outcomes) > 0 and merge.tag_injection_table(injections, outcomes) == 0
     assert {(r.outcome_id, r.correction_applied) for r in spark.read.parquet(outcomes).collect()} == {(i, c or d == "a") for i, d, c in rows}
+
+
+def test_time_filters_prune_the_log(spark, tmp_path):
+    """The log is stored by day: a time filter reads only the days it needs."""
+    path = str(tmp_path / "log")
+    rows = [(str(i), f"2024-01-{1 + i % 20:02d} {i % 24:02d}:30:00", "DKSM", "EXPIRY_ALERT", "d", f"e{i % 3}", "{}", "INFO", False) for i in range(200)]
+    names = "event_id string, event_ts string, source_module string, event_type string, domain string, entity string, payload string, severity string, requires_approval boolean"
+    events = spark.createDataFrame(rows, names).withColumn("event_ts", F.col("event_ts").cast("timestamp_ntz"))
+    sinks.event_log_append(events, path)
+    log = spark.read.parquet(path)
+    as_of, start = "2024-01-05 12:00:00", "2024-01-04 12:00:00"
+    asked = [
+        (E.get_chain(log, as_of, "d", "e1", hours=24), lambda r: r[1] >= start and r[5] == "e1"),
+        (E.replay(log, start, as_of), lambda r: start <= r[1] <= as_of),
+        (E.recent(log, as_of, 24, "DKSM"), lambda r: r[1] >= start),
+    ]
+    for df, keeps in asked:
+        assert "PartitionFilters: [isnotnull(event_date" in df._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.event_id for r in df.collect()) == sorted(r[0] for r in rows if keeps(r))

@@ -81,5 +81,10 @@ def test_approval_chain(spark):
         "decided_at", F.col("decided_at").cast("timestamp_ntz")
     )
     done = E.decide_approvals(queue, decisions)
-    assert [(r.status, r.decided_by) for r in done.collect()] == [("approved", "l2")]
+    assert [(r.status, r.decided_by, r.reason) for r in done.collect()] == [("approved", "l2", None)]
     assert [r.event_type for r in E.decision_events(done).collect()] == ["APPROVAL_GRANTED"]
+    refused = E.decide_approvals(queue, decisions.where("decision = 'rejected'").withColumn("reason", F.lit("too risky")))
+    told = E.decision_events(refused).first()
+    assert refused.first().reason == "too risky" and told.event_type == "APPROVAL_REJECTED"
+    assert json.loads(told.payload) == {"request_id": "REQ-1", "rejected_by": "l1", "reason": "too risky"}
+    assert E.decide_approvals(queue, decisions.where("decision = 'rejected'")).first().reason == ""

@@ -25,8 +25,24 @@ def critical_escalation(events: DataFrame) -> DataFrame:
     return events.withColumn("requires_approval", flag | (F.col("severity") == "CRITICAL"))
 
 
+def between(events: DataFrame, start: Column | None = None, end: Column | None = None) -> DataFrame:
+    """Events from ``start`` to ``end``, both included.
+
+    The log is stored by ``event_date``; where that column is there, whole days outside are
+    not read.
+    """
+    days = "event_date" in events.columns
+    if start is not None:
+        events = events.filter(F.col("event_ts") >= start)
+        events = events.filter(F.col("event_date") >= start.cast("date")) if days else events
+    if end is not None:
+        events = events.filter(F.col("event_ts") <= end)
+        events = events.filter(F.col("event_date") <= end.cast("date")) if days else events
+    return events
+
+
 def _since(events: DataFrame, as_of: Moment, hours: int) -> DataFrame:
-    return events.filter(F.col("event_ts") >= clock.moment(as_of) - clock.hours(hours))
+    return between(events, clock.moment(as_of) - clock.hours(hours))
 
 
 def get_chain(events: DataFrame, as_of: Moment, domain: str, entity: str | None = None, hours: int = 24) -> DataFrame:
@@ -39,7 +55,7 @@ def get_chain(events: DataFrame, as_of: Moment, domain: str, entity: str | None
 
 def replay(events: DataFrame, start: Moment, end: Moment) -> DataFrame:
     """All events between two moments, both included."""
-    return events.filter(F.col("event_ts").between(clock.moment(start), clock.moment(end)))
+    return between(events, clock.moment(start), clock.moment(end))
 
 
 def recent(
@@ -253,15 +269,21 @@ def queue_for_approval(events: DataFrame) -> DataFrame:
 
 
 def decide_approvals(queue: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Apply the latest decision (request_id, decision, lead, decided_at) to each request."""
-    latest = decisions.groupBy("request_id").agg(
-        F.max_by(F.struct("decision", "lead", "decided_at"), F.struct("decided_at", "decision")).alias("_d")
+    """Apply the latest decision (request_id, decision, lead, decided_at, reason) to each request.
+
+    ``reason`` may be missing; it is kept for rejections, empty where none was given, and
+    null for all other requests.
+    """
+    reason = F.col("reason") if "reason" in decisions.columns else F.lit(None).cast("string")
+    latest = decisions.withColumn("reason", reason).groupBy("request_id").agg(
+        F.max_by(F.struct("decision", "lead", "decided_at", "reason"), F.struct("decided_at", "decision")).alias("_d")
     )
     return queue.join(latest, "request_id", "left").select(
-        *[c for c in queue.columns if c not in ("status", "decided_by", "decided_at")],
+        *[c for c in queue.columns if c not in ("status", "decided_by", "decided_at", "reason")],
         F.coalesce("_d.decision", "status").alias("status"),
         F.coalesce("_d.lead", "decided_by").alias("decided_by"),
         F.coalesce("_d.decided_at", "decided_at").alias("decided_at"),
+        F.when(F.col("_d.decision") == "rejected", F.coalesce("_d.reason", F.lit(""))).alias("reason"),
     )
 
 
@@ -270,7 +292,7 @@ def decision_events(decided: DataFrame) -> DataFrame:
     granted = F.col("status") == "approved"
     payload = F.when(
         granted, F.to_json(F.struct("request_id", F.col("decided_by").alias("approved_by")))
-    ).otherwise(F.to_json(F.struct("request_id", F.col("decided_by").alias("rejected_by"))))
+    ).otherwise(F.to_json(F.struct("request_id", F.col("decided_by").alias("rejected_by"), "reason")))
     return decided.filter(F.col("status").isin("approved", "rejected")).select(
         F.concat(F.lit("DEC-"), "request_id").alias("event_id"),
         F.col("decided_at").alias("event_ts"),

@@ -238,3 +238,19 @@ def weekly_improvement(signals: DataFrame, as_of: Moment) -> DataFrame:
         ratio(F.col("_repeated"), F.col("_groups"), 3).alias("repeat_error_rate"),
         week.alias("week_ending"),
     )
+
+
+def improvement_event(weekly: DataFrame, as_of: Moment) -> DataFrame:
+    """LEARNING_IMPROVEMENT event of a weekly comparison, for all domains."""
+    body = F.struct("corrections_this_week", "corrections_last_week", "delta", "repeat_error_rate", "week_ending")
+    return weekly.select(
+        F.concat(F.lit("IMP-"), "week_ending").alias("event_id"),
+        clock.moment(as_of).alias("event_ts"),
+        F.lit("FLE").alias("source_module"),
+        F.lit("LEARNING_IMPROVEMENT").alias("event_type"),
+        F.lit("all").alias("domain"),
+        F.lit("").alias("entity"),
+        F.to_json(body).alias("payload"),
+        F.lit("INFO").alias("severity"),
+        F.lit(False).alias("requires_approval"),
+    )

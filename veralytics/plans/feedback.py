@@ -169,3 +169,20 @@ def _(t: Tables) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     return B.weekly_improvement(t["fx_feedback"], AS_OF)
+
+
+@query(
+    "improvement_event",
+    f"""WITH f AS (SELECT *, signal_ts >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY AS now FROM {{fx_feedback}}
+      WHERE signal_ts >= TIMESTAMP '{AS_OF}' - INTERVAL 14 DAY AND signal_ts < TIMESTAMP '{AS_OF}')
+    SELECT 'IMP-2024-W05' AS event_id, TIMESTAMP '{AS_OF}' AS event_ts, 'FLE' AS source_module, 'LEARNING_IMPROVEMENT' AS event_type, 'all' AS domain,
+      'INFO' AS severity, false AS requires_approval, t AS this_week, t - l AS delta, '2024-W05' AS week_ending
+    FROM (SELECT count(*) FILTER (now AND fle_status = 'applied') AS t, count(*) FILTER (NOT now AND fle_status = 'applied') AS l FROM f)""",
+)
+def _(t: Tables) -> DataFrame:
+    body = F.from_json("payload", "corrections_this_week bigint, delta bigint, week_ending string")
+    events = B.improvement_event(B.weekly_improvement(t["fx_feedback"], AS_OF), AS_OF).withColumn("_p", body)
+    return events.select(
+        "event_id", "event_ts", "source_module", "event_type", "domain", "severity", "requires_approval",
+        F.col("_p.corrections_this_week").alias("this_week"), "_p.delta", "_p.week_ending",
+    )
