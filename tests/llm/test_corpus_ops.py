@@ -48,16 +48,16 @@ def test_mix_of_hard_rows(hard_docs, no_docs):
 
 
 def _brute_top(rows, k, step):
-    ints = {}
+    ints = []
     for i, v in rows:
         if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            ints.setdefault(i, []).append([int(np.floor(1024 * float(np.float32(x)))) for x in v])
-    ints = {i: min(v) for i, v in ints.items()}
+            whole = [int(np.floor(1024 * float(np.float32(x)))) for x in v]
+            ints.append((i, [min(max(x, -(2**63)), 2**63 - 1) for x in whole]))
     out = []
-    for q in ints:
+    for n, (q, qv) in enumerate(ints):
         if q % step == 0:
-            score = lambda c: sum(a * b for a, b in zip(ints[q], ints[c], strict=False))  # noqa: B023, E731
-            best = sorted(((-score(c), c) for c in ints if c != q))[:k]
+            score = lambda v: min(max(sum(a * b for a, b in zip(qv, v, strict=False)), -(2**63)), 2**63 - 1)  # noqa: B023, E731
+            best = sorted((-score(v), c) for m, (c, v) in enumerate(ints) if m != n)[:k]
             out += [(q, n + 1, c, -s) for n, (s, c) in enumerate(best)]
     return sorted(out)
 
@@ -75,11 +75,20 @@ def test_top_k_matches_brute_force(spark, monkeypatch):
     monkeypatch.setattr(vector_topk, "QUERY_BLOCK", 4)
     got = sorted(tuple(r) for r in vector_topk.top_k(df, 10, 20).collect())
     assert got == _brute_top(rows, 10, 20)
+    rows += [(600, [1e30] * 6), (620, [-1e30, 1.0, 0.0, 0.0, 0.0, 0.0]), (601, [3e15] * 6), (640, [-2e15] * 6)]  # large but finite
+    large = spark.createDataFrame(rows, df.schema)
+    assert sorted(tuple(r) for r in vector_topk.top_k(large, 10, 20).collect()) == _brute_top(rows, 10, 20)
     few = spark.createDataFrame(rows[:3], df.schema)
     assert sorted(tuple(r) for r in vector_topk.top_k(few, 10, 2).collect()) == _brute_top(rows[:3], 10, 2)
     assert vector_topk.top_k(df.limit(0)).count() == 0
 
 
+def test_cells_merge_into_few_groups():
+    pivots = np.arange(12).reshape(6, 2)
+    assert vector_topk.merged_cells(pivots, {0: 3, 1: 3, 2: 3, 4: 20, 5: 1}, 10) == {0: 0, 1: 0, 2: 0, 4: 1, 5: 2}
+    assert vector_topk.merged_cells(pivots, {}, 10) == {}
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(100)]
