@@ -31,7 +31,8 @@ FROM {ox_ask} a JOIN {ox_layers} l USING (layer) JOIN (SELECT DISTINCT domain, l
 ORACLE_PARTS["ox_dense"] = f"""
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, collection ORDER BY score DESC, doc_id) AS rank FROM (
   SELECT q.query_id, x.collection, d.doc_id, round(greatest({COS}, 0), 12) AS score
-  FROM {{ox_targets}} x JOIN {{ox_ask}} q USING (query_id) JOIN {{fx_docs}} d ON d.layer = x.layer AND d.domain = x.domain)) WHERE rank <= 6
+  FROM {{ox_targets}} x JOIN {{ox_ask}} q USING (query_id) JOIN {{fx_docs}} d ON d.layer = x.layer AND d.domain = x.domain
+  WHERE d.embedding IS NOT NULL)) WHERE rank <= 6
 """
 
 

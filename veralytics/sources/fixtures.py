@@ -201,11 +201,12 @@ SELECT p_partkey AS k, p_type AS gold_value,
 FROM {part}
 """
 
-# Stored probes: every current fact probed by the error events of a user.
+# Stored probes: every event probes a fact, so facts have several probes of different beliefs.
 FIXTURES["fx_probes"] = """
 SELECT d.domain, p_name || ' #' || CAST(p_partkey AS STRING) AS entity, ts AS probe_ts,
   CAST(CAST(FLOOR(p_retailprice * 100 * (0.5 + (event_id % 6) * 0.1)) AS BIGINT) AS STRING) AS model_belief, event_id AS probe_id
-FROM {events} JOIN {part} ON p_partkey = event_id JOIN {fx_domains} d ON d.domain_id = p_partkey % 7
+FROM (SELECT *, event_id % (SELECT COUNT(*) FROM {part}) + 1 AS probed FROM {events}) e
+JOIN {part} ON p_partkey = probed JOIN {fx_domains} d ON d.domain_id = p_partkey % 7
 """
 
 # Requests for single entities: exact, upper case, part of the name, unknown, blank.
@@ -226,12 +227,12 @@ SELECT LOWER(n_name) AS company_id, CASE WHEN n_nationkey % 4 = 0 THEN NULL ELSE
 FROM {supplier} JOIN {nation} ON n_nationkey = s_nationkey
 """
 
-# Documents that have a vector, in three layers.
+# Documents in three layers; those without a vector take no part in vector searches.
 FIXTURES["fx_docs"] = """
 SELECT doc_id, d.domain, CASE doc_id % 3 WHEN 0 THEN 'gold' WHEN 1 THEN 'silver' ELSE 'bronze' END AS layer,
-  'e' || CAST(label AS STRING) || '-' || lang AS entity, CAST(n_chars AS STRING) AS value, text, embedding,
+  'e' || COALESCE(CAST(label AS STRING), '') || '-' || lang AS entity, CAST(n_chars AS STRING) AS value, text, embedding,
   CASE WHEN label = 3 THEN 1.5 ELSE CAST(1.0 AS DOUBLE) END AS boost
-FROM {documents} JOIN {embeddings} ON vec_id = doc_id JOIN {fx_domains} d ON d.domain_id = doc_id % 7
+FROM {documents} LEFT JOIN {embeddings} ON vec_id = doc_id JOIN {fx_domains} d ON d.domain_id = doc_id % 7
 """
 
 FIXTURES["fx_queries"] = """
