@@ -63,6 +63,45 @@ def test_routing_drops_repeats_and_survives_restart(spark, tmp_path):
     assert sorted(r.request_id for r in spark.read.parquet(f"{out}/approvals").collect()) == ["REQ-1", "REQ-2"]
 
 
+def test_a_repeat_hours_late_is_known_and_a_late_first_event_is_kept(spark, tmp_path):
+    log, out = tmp_path / "log", str(tmp_path / "out")
+    first = ("1", "2024-01-01T00:00:00", "STALENESS_DETECTED", "a", "CRITICAL")
+    again = ("1", "2024-01-01T03:10:00", "STALENESS_DETECTED", "a", "CRITICAL")  # the same id with another time
+    batches = [
+        [first], [("2", "2024-01-01T03:00:00", "APPROVAL_REQUIRED", "b", "INFO")],
+        [first, again, ("3", "2024-01-01T01:00:00", "STALENESS_DETECTED", "c", "INFO"), ("4", "2024-01-01T02:00:00", "EXPIRY_ALERT", "c", "INFO")],
+    ]
+    for i, rows in enumerate(batches):
+        write_log(log, f"{i}.jsonl", rows)
+        Z.route_events(readers.event_log_stream(spark, str(log)), out).awaitTermination()
+    assert sorted(r.request_id for r in spark.read.parquet(f"{out}/approvals").collect()) == ["REQ-1", "REQ-2"]
+    routed = spark.read.parquet(f"{out}/injection").orderBy("event_id").collect()
+    assert [(r.event_id, str(r.event_ts), r.entity, r.requires_approval) for r in routed] == [
+        ("1", "2024-01-01 00:00:00", "a", True), ("3", "2024-01-01 01:00:00", "c", False)
+    ]
+    late = spark.read.parquet(f"{out}/late").collect()
+    assert [(r.event_id, r.late_by.total_seconds()) for r in late] == [("3", 7200.0)]
+    assert sorted(r.event_id for r in spark.read.parquet(f"{out}/ids").collect()) == ["1", "2", "3", "4"]
+
+
+def test_pending_state_is_a_table(spark, tmp_path):
+    log, out = tmp_path / "log", str(tmp_path / "out")
+    gold = spark.createDataFrame([("d", "a", "5", 1, "true"), ("d", "b", None, 1, "true")], "domain string, entity string, value string, version int, is_current string")
+    tables = []
+    for i, (entity, ts) in enumerate([("a", "00:00:00.000250"), ("b", "00:10:00"), ("b", "02:00:00"), ("a", "05:10:00"), ("b", "01:00:00")]):
+        write_log(log, f"{i}.jsonl", [(str(i), f"2024-01-01T{ts}", "STALENESS_DETECTED", entity, "INFO")])
+        with Z.rocks_state(spark):
+            stream = Z.pending_state(Z.readiness_stream(readers.event_log_stream(spark, str(log)), gold))
+            rows = Z.run_available(stream, out, "update").orderBy("batch", "ready_at").collect()
+        found = Z.pending_table(spark, f"{out}/_checkpoint").orderBy("entity").collect()
+        tables.append([(r.entity, r.value, str(r.ready_at)[11:], str(r.expires)[11:]) for r in found])
+    assert tables[0] == [("a", "5", "00:00:00.000250", "04:00:00.000250")]
+    assert tables[2] == [("a", "5", "00:00:00.000250", "04:00:00.000250"), ("b", None, "02:00:00", "06:00:00")]
+    assert tables[3] == tables[4] == [("a", "5", "05:10:00", "09:10:00"), ("b", None, "02:00:00", "06:00:00")]
+    seen = [(r.entity, str(r.ready_at)[11:], r.status) for r in rows]
+    assert seen.count(("b", "00:10:00", "expired")) == 0 and ("b", "02:00:00", "active") in seen
+
+
 def test_log_sink(spark, tmp_path):
     log = tmp_path / "log"
     write_log(log, "1.jsonl", [("1", "2024-01-01T00:00:00", "EXPIRY_ALERT", "a", "INFO"), ("2", "2024-01-02T00:00:00", "EXPIRY_ALERT", "a", "INFO")])

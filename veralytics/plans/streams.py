@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veralytics import dims
 from veralytics.plans.injection import stale_events
 from veralytics.plans.registry import query
-from veralytics.sources.fixtures import Tables
+from veralytics.sources.fixtures import ORACLE_PARTS, Tables
 from veralytics.sources.sinks import scratch
 from veralytics.streaming import streams as Z
 
@@ -26,12 +26,27 @@ def _(t: Tables) -> DataFrame:
     return Z.run_available(ready, scratch(t.spark)).drop("batch", "expires")
 
 
-# One batch of the whole log: the newest row of each key; its expiry lies behind the watermark
-# only where the log goes on for more than four hours and the watermark's one hour.
-@query("pending_stream")
+# The whole log is one batch; the watermark then stands one hour behind the newest row.
+ORACLE_PARTS["ox_final"] = """
+SELECT *, CASE WHEN ready_at + INTERVAL 4 HOUR <= max(ready_at) OVER () - INTERVAL 1 HOUR THEN 'expired' ELSE 'active' END AS status FROM {ox_ready}
+"""
+
+
+@query("pending_stream", "SELECT domain, entity, value, version, ready_at, status FROM {ox_final}")
 def _(t: Tables) -> DataFrame:
     ready = Z.readiness_stream(stale_events(streaming(t)), t.gold)
-    return Z.run_available(Z.pending_stream(ready), scratch(t.spark), "update").drop("batch")
+    rows = Z.run_available(Z.pending_stream(ready), scratch(t.spark), "update")
+    last = F.max_by(F.struct("value", "version", "ready_at", "status"), "batch")
+    return rows.groupBy("domain", "entity").agg(last.alias("_r")).select("domain", "entity", "_r.*")
+
+
+@query("pending_table", "SELECT domain, entity, value, version, ready_at, expires FROM {ox_final} WHERE status = 'active'")
+def _(t: Tables) -> DataFrame:
+    folder = scratch(t.spark)
+    ready = Z.readiness_stream(stale_events(streaming(t)), t.gold)
+    with Z.rocks_state(t.spark):
+        Z.run_available(Z.pending_state(ready), folder, "update")
+    return Z.pending_table(t.spark, f"{folder}/_checkpoint")
 
 
 @query("link_stream", "SELECT outcome_id, outcome_ts, domain FROM {ox_linked}")

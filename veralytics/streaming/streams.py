@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from veralytics import config as C
 from veralytics.functions import clock
@@ -54,6 +56,9 @@ def readiness_stream(events: DataFrame, gold: DataFrame, ttl_hours: int = C.INJE
     )
 
 
+# Times of the state are microseconds, timers and watermarks are milliseconds.
+HOUR_US = 3_600_000_000
+PENDING_STATE = "ready_us bigint, value string, version string"
 _PENDING = "domain string, entity string, value string, version string, ready_at timestamp, status string"
 
 
@@ -64,24 +69,23 @@ def pending_stream(ready: DataFrame, ttl_hours: int = C.INJECTION_TTL_HOURS, wat
     passes its expiry the key is dropped and emitted as ``expired``, also when a late
     row of the key comes in the batch that would have ended it.
     """
-    ttl_ms = ttl_hours * 3_600_000
+    ttl_us = ttl_hours * HOUR_US
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            ready_ms, value, version = state.get
+            ready_us, value, version = state.get
             state.remove()
-            yield _pending_row(key, value, version, ready_ms, "expired")
+            yield _pending_row(key, value, version, ready_us, "expired")
             return
         held = state.get if state.exists else None
         rows = [] if held is None else [held]
         for batch in batches:
-            ms = batch["event_time"].astype("int64") // _unit_of(batch["event_time"])
-            last = batch.assign(ms=ms).nlargest(1, "ms", keep="all").sort_values(["value", "version"], na_position="first")
-            rows += [(int(r.ms), r.value, r.version) for r in last.tail(1).itertuples()]
+            last = batch.assign(us=_micros(batch["event_time"])).nlargest(1, "us", keep="all").sort_values(["value", "version"], na_position="first")
+            rows += [(int(r.us), r.value, r.version) for r in last.tail(1).itertuples()]
         if not rows:
             return
         best = max(rows, key=lambda r: (r[0], r[1] or "", r[2] or ""))
-        if best[0] + ttl_ms <= state.getCurrentWatermarkMs():  # also a held row that the watermark has passed in the meantime
+        if _end_ms(best[0], ttl_us) <= state.getCurrentWatermarkMs():  # also a held row that the watermark has passed in the meantime
             if held is not None:
                 state.remove()
             yield _pending_row(key, best[1], best[2], best[0], "expired")
@@ -89,26 +93,115 @@ def pending_stream(ready: DataFrame, ttl_hours: int = C.INJECTION_TTL_HOURS, wat
         if best != held:
             state.update(best)
             yield _pending_row(key, best[1], best[2], best[0], "active")
-        state.setTimeoutTimestamp(best[0] + ttl_ms)
+        state.setTimeoutTimestamp(_end_ms(best[0], ttl_us))
 
     source = timed(ready, "ready_at", watermark).select("domain", "entity", "value", "version", "event_time")
     out = source.groupBy("domain", "entity").applyInPandasWithState(
-        step, _PENDING, "ready_ms bigint, value string, version string", "update", GroupStateTimeout.EventTimeTimeout
+        step, _PENDING, PENDING_STATE, "update", GroupStateTimeout.EventTimeTimeout
     )
     return out.withColumn("ready_at", clock.from_instant(F.col("ready_at")))
 
 
-def _unit_of(times: pd.Series) -> int:
-    """Ticks of the series' time unit in one millisecond."""
-    unit = getattr(times.dtype, "unit", "ns")
-    return {"ns": 1_000_000, "us": 1_000, "ms": 1}[unit]
+class PendingProcessor(StatefulProcessor):
+    """The newest pending row of a key as a value, its end as an event-time timer."""
 
+    def __init__(self, ttl_us: int) -> None:
+        self.ttl_us = ttl_us
 
-def _pending_row(key: tuple, value: str, version: str, ready_ms: int, status: str) -> pd.DataFrame:
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pending = handle.getValueState("pending", PENDING_STATE)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held = tuple(self.pending.get()) if self.pending.exists() else None
+        best = held
+        for batch in rows:
+            us = _micros(batch["event_time"]).tolist()
+            texts = batch[["value", "version"]].astype(object).where(batch[["value", "version"]].notna(), None)
+            found = max(zip(us, texts["value"], texts["version"], strict=True), key=_newness)
+            best = found if best is None or _newness(found) > _newness(best) else best
+        if best == held:
+            return
+        if held is not None:
+            self.handle.deleteTimer(_end_ms(held[0], self.ttl_us))
+        if _end_ms(best[0], self.ttl_us) <= timerValues.getCurrentWatermarkInMs():
+            self.pending.clear()
+            yield _pending_row(key, best[1], best[2], best[0], "expired")
+            return
+        self.pending.update(best)
+        self.handle.registerTimer(_end_ms(best[0], self.ttl_us))
+        yield _pending_row(key, best[1], best[2], best[0], "active")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if self.pending.exists():
+            ready_us, value, version = self.pending.get()
+            self.pending.clear()
+            yield _pending_row(key, value, version, ready_us, "expired")
+
+    def close(self) -> None:
+        pass
+
+
+def _newness(row: tuple) -> tuple:
+    return row[0], row[1] or "", row[2] or ""
+
+
+def pending_state(ready: DataFrame, ttl_hours: int = C.INJECTION_TTL_HOURS, watermark: str = WATERMARK) -> DataFrame:
+    """As :func:`pending_stream`, with the pending row and its timer kept apart, so that the state is a table.
+
+    Needs the RocksDB state store (``ROCKS``). :func:`pending_table` reads the state of a
+    stopped or running query.
+    """
+    source = timed(ready, "ready_at", watermark).select("domain", "entity", "value", "version", "event_time")
+    out = source.groupBy("domain", "entity").transformWithStateInPandas(
+        PendingProcessor(ttl_hours * HOUR_US), _PENDING, "Update", "EventTime"
+    )
+    return out.withColumn("ready_at", clock.from_instant(F.col("ready_at")))
+
+
+ROCKS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+@contextmanager
+def rocks_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB; the session's setting comes back afterwards."""
+    before = {k: spark.conf.get(k, None) for k in ROCKS}
+    for k, v in ROCKS.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def pending_table(spark: SparkSession, checkpoint: str, ttl_hours: int = C.INJECTION_TTL_HOURS) -> DataFrame:
+    """The keys that are pending now, read from the state of a :func:`pending_state` query: one row per key.
+
+    The state store is read in as many parts as the query has state partitions; the stream
+    need not run and is not touched.
+    """
+    state = spark.read.format("statestore").option("stateVarName", "pending").load(checkpoint)
+    ready = clock.from_instant(F.timestamp_micros("value.ready_us"))
+    return state.select("key.domain", "key.entity", "value.value", "value.version", ready.alias("ready_at")).withColumn(
+        "expires", F.col("ready_at") + clock.hours(ttl_hours)
+    )
+
+
+def _micros(times: pd.Series) -> pd.Series:
+    return times.dt.as_unit("us").astype("int64")
+
+
+def _end_ms(ready_us: int, ttl_us: int) -> int:
+    """The first whole millisecond at which a row's time to live is over."""
+    return -(-(ready_us + ttl_us) // 1000)
+
+
+def _pending_row(key: tuple, value: str, version: str, ready_us: int, status: str) -> pd.DataFrame:
     return pd.DataFrame(
         {
             "domain": [key[0]], "entity": [key[1]], "value": [value], "version": [version],
-            "ready_at": [pd.Timestamp(ready_ms, unit="ms")], "status": [status],
+            "ready_at": [pd.Timestamp(ready_us, unit="us")], "status": [status],
         }
     )
 
@@ -156,32 +249,63 @@ SUBSCRIBERS = {
 
 
 def route_events(
-    events: DataFrame, folder: str, handlers: dict[str, Callable[[DataFrame], DataFrame]] | None = None
+    events: DataFrame, folder: str, handlers: dict[str, Callable[[DataFrame], DataFrame]] | None = None, late_after: str = WATERMARK
 ) -> StreamingQuery:
-    """Fan events out to one table per subscriber and to the approval queue.
-
-    Repeated event ids are dropped. Each batch writes its own folders and writes them again
-    in full when it is repeated, so a lost executor or a restart leaves no duplicates.
-    ``handlers`` may transform what a subscriber stores.
+    """Fan events out to one table per subscriber and to the approval queue, each event id once for all time.
+
+    The ids that were routed are stored (``ids``), so a repeat is known however late it
+    comes, and no state is held for it. A first event that lies more than ``late_after``
+    behind the newest event of earlier batches is routed like any other and also kept in
+    ``late``, with the time by which it is late. Of repeats inside a batch the smallest
+    row stands. Each batch writes its own folders and writes them again in full when it is
+    repeated, so a lost executor or a restart leaves no duplicates. ``handlers`` may
+    transform what a subscriber stores.
     """
-    unique = timed(critical_escalation(events)).dropDuplicatesWithinWatermark(["event_id"]).drop("event_time")
+    spark = events.sparkSession
+    flagged = critical_escalation(events)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        try:
-            for name, kinds in SUBSCRIBERS.items():
-                rows = batch.filter(F.col("event_type").isin(*kinds))
-                rows = handlers[name](rows) if handlers and name in handlers else rows
-                rows.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch_id}")
-            queue_for_approval(batch).write.mode("overwrite").parquet(f"{folder}/approvals/batch={batch_id}")
-        finally:
-            batch.unpersist()
+        fresh = _first_of_each(batch, _earlier(spark, f"{folder}/ids", "event_id string, event_ts timestamp_ntz", batch_id))
+        fresh.write.mode("overwrite").parquet(f"{folder}/fresh/batch={batch_id}")
+        fresh = spark.read.schema(fresh.schema).parquet(f"{folder}/fresh/batch={batch_id}")
+        for name, kinds in SUBSCRIBERS.items():
+            rows = fresh.filter(F.col("event_type").isin(*kinds))
+            rows = handlers[name](rows) if handlers and name in handlers else rows
+            rows.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch_id}")
+        queue_for_approval(fresh).write.mode("overwrite").parquet(f"{folder}/approvals/batch={batch_id}")
+        newest = _earlier(spark, f"{folder}/newest", "newest timestamp_ntz", batch_id).agg(F.max("newest").alias("_newest"))
+        behind = F.expr(f"_newest - INTERVAL {late_after}")
+        late = fresh.join(newest, F.col("event_ts") < behind).withColumn("late_by", F.col("_newest") - F.col("event_ts")).drop("_newest")
+        late.write.mode("overwrite").parquet(f"{folder}/late/batch={batch_id}")
+        fresh.agg(F.max("event_ts").alias("newest")).write.mode("overwrite").parquet(f"{folder}/newest/batch={batch_id}")
+        fresh.select("event_id", "event_ts").write.mode("overwrite").parquet(f"{folder}/ids/batch={batch_id}")
 
     return (
-        unique.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/_checkpoint").trigger(availableNow=True).start()
+        flagged.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/_checkpoint").trigger(availableNow=True).start()
     )
 
 
+def _earlier(spark: SparkSession, path: str, schema: str, batch_id: int) -> DataFrame:
+    """What the batches before this one stored; a folder that is not there yet is empty."""
+    if batch_id == 0:
+        return spark.createDataFrame([], schema)
+    stored = spark.read.schema(f"{schema}, batch bigint").option("ignoreMissingFiles", True).parquet(path)
+    return stored.filter(F.col("batch") < batch_id).drop("batch")
+
+
+def _first_of_each(batch: DataFrame, routed: DataFrame) -> DataFrame:
+    """One row per event id that was not routed before.
+
+    The stored ids are reduced to those of the batch first: they are many, the batch is
+    not, so Spark may send the batch's ids to them and need not move them. Events without
+    an id are all kept.
+    """
+    row = F.struct(*[F.col(c) for c in batch.columns])
+    one = batch.filter("event_id IS NOT NULL").groupBy("event_id").agg(F.min(row).alias("_row")).select("_row.*")
+    known = routed.select("event_id").join(one.select("event_id"), "event_id", "left_semi")
+    return one.join(known, "event_id", "left_anti").select(*batch.columns).union(batch.filter("event_id IS NULL"))
+
+
 def event_log_sink(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append a stream of events to the log table, one folder per day."""
     dated = events.withColumn("event_date", F.col("event_ts").cast("date"))
