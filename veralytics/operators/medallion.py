@@ -105,6 +105,38 @@ def silver_refine(
     return kept.withColumnsRenamed(dict(renames or {}))
 
 
+def silver_refine_domains(
+    bronze: DataFrame,
+    required: Mapping[str, Sequence[str]] = C.REQUIRED_COLUMNS,
+    renames: Mapping[str, Mapping[str, str]] = C.SILVER_RENAMES,
+    threshold: float = C.SILVER_QUALITY_THRESHOLD,
+    as_of: datetime | str | None = None,
+) -> DataFrame:
+    """:func:`silver_refine` of a table of many domains in one pass, each by its own required columns and names.
+
+    Domains without rules keep every row that is not flagged. A renamed column moves its
+    values to the new name in the rows of the domain that renames it and stays as it is in
+    all others. Rules for columns that the table lacks count as missing values.
+    """
+    duplicate = _is_flag(bronze, "is_duplicate", any_case=True)
+    broken = _is_flag(bronze, _error_flag(bronze.columns), any_case=True)
+    domain, quality = F.col("domain"), F.lit(1.0)
+    for name, columns in required.items():
+        quality = F.when(domain == name, quality_score(columns, bronze.columns)).otherwise(quality)
+    kept = bronze.filter(~duplicate & ~broken).withColumn("quality_score", quality).filter(F.col("quality_score") >= threshold)
+    moves = [(name, old, new) for name, names in renames.items() for old, new in names.items() if old in bronze.columns]
+    moved = {}
+    for name, old, new in moves:
+        before = moved.get(new, F.col(new) if new in bronze.columns else F.lit(None).cast(bronze.schema[old].dataType))
+        moved[new] = F.when(domain == name, F.col(old)).otherwise(before)
+    for old in {old for _, old, _ in moves}:
+        renaming = [name for name, o, _ in moves if o == old]
+        moved[old] = F.when(~domain.isin(*renaming), moved.get(old, F.col(old)))
+    if as_of is not None:
+        kept = kept.withColumn("validated_at", clock.moment(as_of))
+    return kept.withColumns(moved)
+
+
 def silver_stats(bronze: DataFrame, silver: DataFrame) -> DataFrame:
     """Promoted rows, removed rows (exact ``true`` flags) and mean quality per domain."""
     removed = bronze.groupBy("domain").agg(

@@ -446,8 +446,23 @@ PLAN_TEMPLATES = [  # level, action, effort, hours, priority, text with %1$s ent
 ]
 
 
+def _explanation(plan_key: Column) -> Column:
+    """Why the plan is as it is, with the score and, where it is urgent, both values."""
+    score = F.format_number(F.col("staleness_score"), 2)
+    belief, truth = (F.coalesce(F.col(c), F.lit("")) for c in ("model_belief", "warehouse_truth"))
+    critical = F.format_string(
+        "%s is critical at a score of %s: the model holds '%s', the gold layer '%s'. Put the gold value into the prompt now and train on it within 30 days.",
+        F.col("entity"), score, belief, truth,
+    )
+    stale = F.format_string(
+        "%s drifts at a score of %s. Add a corrected example to the next training run, or fetch the gold value before each answer.", F.col("entity"), score
+    )
+    calm = F.format_string("%s needs no action at a score of %s. Keep an alert on it.", F.col("entity"), score)
+    return F.when(plan_key == "CRITICAL", critical).when(plan_key == "STALE", stale).otherwise(calm)
+
+
 def remediation_plan(scores: DataFrame) -> DataFrame:
-    """Action, effort, hours, priority and ready-to-use text per score."""
+    """Action, effort, hours, priority, explanation and ready-to-use text per score."""
     level = F.col("staleness_level")
     plan_key = F.when(level.isin("CRITICAL", "STALE"), level).otherwise(F.lit("MONITOR"))
     templates = fixed(
@@ -467,6 +482,7 @@ def remediation_plan(scores: DataFrame) -> DataFrame:
         scores.withColumn("plan_key", plan_key)
         .join(templates, "plan_key")
         .withColumn("snippet", snippet)
+        .withColumn("explanation", _explanation(F.col("plan_key")))
         .withColumn("entity_slug", F.regexp_replace(F.lower("entity"), "[ -]", "_"))
         .drop("plan_key", "_text")
     )

@@ -364,11 +364,15 @@ ORACLE_PARTS["ox_plan"] = _PLAN
 
 @query(
     "remediation_plan",
-    "SELECT domain, entity, staleness_level, primary_action, effort_level, estimated_hours, priority, entity_slug, snippet FROM {ox_plan}",
+    """SELECT domain, entity, staleness_level, primary_action, effort_level, estimated_hours, priority, entity_slug, snippet,
+      CASE staleness_level WHEN 'CRITICAL' THEN printf('%s is critical at a score of %.2f: the model holds ''%s'', the gold layer ''%s''. ', entity, staleness_score, model_belief, warehouse_truth)
+          || 'Put the gold value into the prompt now and train on it within 30 days.'
+        WHEN 'STALE' THEN printf('%s drifts at a score of %.2f. ', entity, staleness_score) || 'Add a corrected example to the next training run, or fetch the gold value before each answer.'
+        ELSE printf('%s needs no action at a score of %.2f. Keep an alert on it.', entity, staleness_score) END AS explanation FROM {ox_plan}""",
 )
 def _(t: Tables) -> DataFrame:
     return S.remediation_plan(raw_scores(t)).select(
-        "domain", "entity", "staleness_level", "primary_action", "effort_level", "estimated_hours", "priority", "entity_slug", "snippet"
+        "domain", "entity", "staleness_level", "primary_action", "effort_level", "estimated_hours", "priority", "entity_slug", "snippet", "explanation"
     )
 
 
@@ -444,6 +448,21 @@ def _(t: Tables) -> DataFrame:
     return S.entity_check(t["fx_requests"], t.gold, t["fx_probes"], t.domains, PROBE_AS_OF)
 
 
-@query("executive_summary")
+@query(
+    "executive_summary",
+    f"""
+    WITH totals AS (SELECT *, CASE WHEN usd < 100000 THEN 'A' WHEN usd < 500000 THEN 'B' WHEN usd < 1000000 THEN 'C' WHEN usd < 5000000 THEN 'D' ELSE 'F' END AS grade
+      FROM (SELECT round(sum(estimated_exposure_usd), 2) AS usd, CAST(sum(decisions_at_risk) AS BIGINT) AS decisions,
+        count(*) FILTER (staleness_level = 'CRITICAL') AS criticals FROM {{ox_risk}})),
+    head AS (SELECT unnest(range(8)) AS pos, unnest(['=== Domain Knowledge Staleness Report ===', 'Generated: {AS_OF[:16]} UTC', '',
+      'Portfolio Risk Grade: ' || grade, 'Total Estimated Exposure: $' || format('{{{{:,}}}}', CAST(round_even(usd, 0) AS BIGINT)),
+      'Decisions at Risk (30d): ' || format('{{{{:,}}}}', decisions), '', 'Domain Breakdown:']) AS line FROM totals)
+    SELECT 1 AS section, printf('%04d', pos) AS sort_key, line FROM head
+    UNION ALL SELECT 2, domain, '  ' || domain || ': $' || format('{{{{:,}}}}', CAST(round_even(round(sum(estimated_exposure_usd), 2), 0) AS BIGINT)) FROM {{ox_risk}} GROUP BY domain
+    UNION ALL SELECT 3, '0000', '' FROM totals WHERE criticals > 0
+    UNION ALL SELECT 3, '0001', 'CRITICAL Entities Requiring Immediate Action:' FROM totals WHERE criticals > 0
+    UNION ALL SELECT 4, domain || '/' || entity, '  ⚠  ' || entity FROM {{ox_risk}} WHERE staleness_level = 'CRITICAL'
+    """,
+)
 def _(t: Tables) -> DataFrame:
     return S.executive_summary(R.simulate_entity(raw_scores(t), t.domains), AS_OF)

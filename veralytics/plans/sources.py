@@ -148,6 +148,14 @@ def _(t: Tables) -> DataFrame:
 _KEY = "company_id || '__' || domain_key"
 
 
+@query(
+    "company_domains",
+    f"""SELECT company_id, company_name, domain_key, domain_name, coalesce(probe_schedule, 'manual') AS probe_schedule, {_KEY} AS domain FROM {{fx_profiles}}""",
+)
+def _(t: Tables) -> DataFrame:
+    return P.company_domains(t["fx_profiles"])
+
+
 @query(
     "domain_dim",
     f"""SELECT domain, display_name, NULL AS company_id, 'manual' AS probe_schedule FROM {{fx_domains}}

@@ -162,6 +162,17 @@ SELECT d.domain, c_custkey, CASE WHEN c_custkey % 11 = 0 THEN ' ' ELSE c_name EN
 FROM {customer} JOIN {fx_domains} d ON d.domain_id = c_custkey % 7
 """
 
+# Bronze rows with the columns of three domains' rules; a blank or null cell here and there.
+FIXTURES["fx_bronze_wide"] = """
+SELECT b.*, CASE WHEN b.c_custkey % 29 = 0 THEN '' ELSE CAST(b.c_custkey * 10 AS STRING) END AS max_annual_revenue,
+  CAST(b.c_custkey % 30 AS STRING) AS discount_rate_pct, c_name AS product_name, c_mktsegment AS category,
+  CASE WHEN b.c_custkey % 31 = 0 THEN NULL ELSE CAST(CAST(FLOOR(c_acctbal) AS BIGINT) AS STRING) END AS unit_price_usd,
+  'true' AS discount_eligible, CASE WHEN b.c_custkey % 5 = 0 THEN ' ' ELSE '2024-01-01' END AS launch_date,
+  c_name AS threshold_name, c_mktsegment AS risk_category, CASE WHEN b.c_custkey % 3 = 0 THEN NULL ELSE CAST(b.c_custkey AS STRING) END AS max_value,
+  'usd' AS unit, 'high' AS severity_level
+FROM {fx_bronze} b JOIN {customer} c ON c.c_custkey = b.c_custkey
+"""
+
 # Graded probe attempts: the assistant turns of conversations.
 FIXTURES["fx_attempts"] = """
 SELECT conv_id AS probe_id, turn AS attempt, LENGTH(text) AS n,
