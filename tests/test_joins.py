@@ -18,7 +18,8 @@ from veralytics.operators import retrieval as X
 from veralytics.operators import value as V
 from veralytics.operators.contains_join import contains_join
 from veralytics.operators.median import exact_median
-from veralytics.operators.rootcause import run_gap
+from veralytics.operators.rootcause import run_gap, schema_drift, silent_drop
+from veralytics.operators.spread import spread_join
 from veralytics.session import stored
 
 START = dt.datetime(2024, 1, 1)
@@ -279,3 +280,35 @@ def test_best_probe_text_both_ways(spark, monkeypatch):
     monkeypatch.setattr(coverage, "PROBE_CHUNK", 4)
     two = sorted(map(tuple, coverage.best_probe_text(cases, probes, 0.3).select("case_no", "best_probe", "best_score", "covered").collect()))
     assert one == two
+
+
+def test_spread_join_equals_a_plain_join(spark):
+    rng = random.Random(4)
+    big = spark.createDataFrame([(rng.choice("aaaaab") if i % 7 else None, i) for i in range(300)] + [("a", 5), ("a", 5)], "k string, n int")
+    small = spark.createDataFrame([("a", 1), ("a", 2), ("c", 3), (None, 4)], "k string, m int")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        got = spread_join(big, small, ["k"], ["n"], how, parts=5)
+        plain = big.join(small, "k", how)
+        assert got.columns == plain.columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+        assert spread_join(big.limit(0), small, ["k"], ["n"], how).count() == 0
+    with pytest.raises(ValueError):
+        spread_join(big, small, ["k"], ["n"], "full")
+
+
+def test_no_join_moves_a_large_side_by_its_busy_key_alone(spark):
+    at = F.lit("2024-01-01").cast("timestamp_ntz")
+    rows = spark.range(50_000)
+    outcomes = rows.select(F.col("id").alias("outcome_id"), F.lit("d").alias("domain"), F.lit(False).alias("correction_applied"))
+    injections = rows.select(F.concat(F.lit("d"), F.col("id") % 9000).alias("domain"))
+    runs = rows.select(F.concat(F.lit("m"), F.col("id") % 9000).alias("dbt_model"), at.alias("run_timestamp"), F.col("id").cast("string").alias("run_id"), F.lit("5").alias("rows_affected"), F.lit("v").alias("schema_version"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "4096")
+    try:
+        for df in (V.tag_injection(outcomes, injections), silent_drop(runs), schema_drift(runs)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            joins = [line for line in plan.splitlines() if "SortMergeJoin [" in line or "HashJoin [" in line]
+            spread = [line for line in joins if "_spread_part" in line]
+            assert spread and not [line for line in joins if line not in spread and ("outcome_id" in line or "run_id" in line)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

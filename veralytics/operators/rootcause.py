@@ -12,6 +12,7 @@ from veralytics import config as C
 from veralytics import dims
 from veralytics.functions import clock
 from veralytics.operators.median import exact_median
+from veralytics.operators.spread import spread_join
 
 Moment = datetime | str
 
@@ -34,7 +35,7 @@ def silent_drop(runs: DataFrame) -> DataFrame:
     """Earliest run below 70 % of the model's median row count, with the missing share."""
     rows = runs.select("dbt_model", "run_timestamp", "run_id", F.col("rows_affected").try_cast("double").alias("rows"))
     median = exact_median(rows, "dbt_model", "rows").filter(F.col("median") > 0)
-    low = rows.join(median, "dbt_model").filter(F.col("rows") < F.col("median") * C.DROP_RATIO)
+    low = spread_join(rows, median, ["dbt_model"], ["run_timestamp", "run_id"]).filter(F.col("rows") < F.col("median") * C.DROP_RATIO)
     first = F.min(F.struct("run_timestamp", "run_id", "rows", "median")).alias("_r")
     return low.groupBy("dbt_model").agg(first).select(
         "dbt_model",
@@ -49,7 +50,7 @@ def schema_drift(runs: DataFrame) -> DataFrame:
         F.min_by("schema_version", F.struct("run_timestamp", "run_id")).alias("_first"),
         (F.min("schema_version") != F.max("schema_version")).alias("_mixed"),
     )
-    changed = runs.join(first.filter("_mixed"), "dbt_model").filter(~F.col("schema_version").eqNullSafe(F.col("_first")))
+    changed = spread_join(runs, first.filter("_mixed"), ["dbt_model"], ["run_timestamp", "run_id"]).filter(~F.col("schema_version").eqNullSafe(F.col("_first")))
     return changed.groupBy("dbt_model").agg(F.min("run_timestamp").alias("drifted_at"))
 
 

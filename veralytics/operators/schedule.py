@@ -13,6 +13,7 @@ from veralytics.functions import clock
 from veralytics.operators.events import field, industry_of
 from veralytics.operators.medallion import gold_current
 from veralytics.operators.scoring import freshness_probe
+from veralytics.operators.spread import spread_join
 
 Moment = datetime | str
 
@@ -83,7 +84,8 @@ def recent_results(log: DataFrame, n: int = C.RECENT_ROWS, domain_key: str | Non
 def reprobe_requests(events: DataFrame, gold: DataFrame, domains: DataFrame, as_of: Moment) -> DataFrame:
     """Probe again all current facts of the domains that REPROBE_REQUESTED events name."""
     asked = events.filter(F.col("event_type") == "REPROBE_REQUESTED").select("domain").distinct()
-    return freshness_probe(gold.join(asked, "domain", "left_semi"), domains, as_of, triggered_by="reprobe_after_correction")
+    facts = spread_join(gold, asked, ["domain"], ["entity"], "left_semi")
+    return freshness_probe(facts, domains, as_of, triggered_by="reprobe_after_correction")
 
 
 # --- expiry ----------------------------------------------------------------------

@@ -13,6 +13,7 @@ from veralytics.dims import fixed
 from veralytics.functions import clock, text
 from veralytics.functions.numbers import extract_number
 from veralytics.operators.medallion import entity_lookup, gold_current
+from veralytics.operators.spread import spread_join
 
 # --- column expressions --------------------------------------------------------
 
@@ -502,7 +503,7 @@ def domain_report_plans(scores: DataFrame, exposure: DataFrame) -> DataFrame:
     Kept as rows, not as one nested list per domain, so that no domain has to fit into one
     task; the order is a range-partitioned sort.
     """
-    plans = remediation_plan(scores).join(domain_report(scores, exposure), "domain")
+    plans = spread_join(remediation_plan(scores), domain_report(scores, exposure), ["domain"], ["entity"])
     return plans.orderBy("domain", "priority", "entity")
 
 

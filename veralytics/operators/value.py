@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from veralytics import config as C
 from veralytics import dims
 from veralytics.functions import clock
+from veralytics.operators.spread import spread_join
 
 Moment = datetime | str
 
@@ -156,7 +157,7 @@ def tag_injection(outcomes: DataFrame, injections: DataFrame, hours: int | None
     """
     if hours is None:
         touched = injections.select("domain").distinct().withColumn("_hit", F.lit(True))
-        joined = outcomes.join(touched, "domain", "left")
+        joined = spread_join(outcomes, touched, ["domain"], ["outcome_id"], "left")
     else:
         hits = injection_outcome_link(injections, outcomes, hours).select("outcome_id").distinct().withColumn("_hit", F.lit(True))
         joined = outcomes.join(hits, "outcome_id", "left")
