@@ -5,9 +5,10 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from veralytics.llm import jaccard_join, mixing, vector_topk
+from veralytics.llm import jaccard_join, mixing, pii, vector_topk
 from veralytics.llm.components import components
 from veralytics.llm.jaccard_join import Join
 
@@ -200,3 +201,17 @@ def test_pipeline(spark, sf_dir, tmp_path):
     assert set(text["sentencepiece"]) <= set(text["source_mixing"])
     assert docs.count() == len(text["sentencepiece"]) and docs.where("NOT round_trip").isEmpty()
     assert corpus_pipeline.run(spark, sf_dir).count() == docs.count()
+
+
+def test_stages_keep_columns_of_any_name_and_type(make_docs):
+    rows = [(1, "one two three four five six", "a"), (1, "one two three four five six", "a"), (2, "mail x@example.com now", None), (3, None, "b")]
+    odd = {"a.b": F.lit("dot"), "row": F.lit(1), "draw": F.lit("d"), "_mix_draw": F.lit("m"), "key`": F.lit(2), "m": F.create_map(F.lit("k"), F.lit("v"))}
+    docs = make_docs(rows)
+    for name, value in odd.items():
+        docs = docs.withColumn(name, value)
+    for run in (mixing.mix, pii.without_private, jaccard_join.one_of_each):
+        out = run(docs)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        found = out.collect()
+        assert found and {(r["a.b"], r["row"], r["draw"], r["_mix_draw"], r["key`"], r["m"]["k"]) for r in found} == {("dot", 1, "d", "m", 2, "v")}
+    assert sorted(r["doc_id"] for r in jaccard_join.one_of_each(docs).collect()) == [1, 2, 3]

@@ -115,6 +115,12 @@ def test_keep_good_agrees_with_judge(given):
     assert kept == judged
 
 
+def test_keep_good_agrees_where_labels_name_other_documents(given):
+    some = given[0].where("doc_id % 2 = 0")
+    kept = sorted(r["doc_id"] for r in quality_rules.keep_good(some, given[1], rows=30).select("doc_id").collect())
+    assert kept == sorted(r["doc_id"] for r in quality_rules.judge(some, given[1], rows=30).where("kept").collect())
+
+
 def _rule(host, path):
     found = [(h + p, v) for h, p, v in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
     return max(found, key=lambda r: len(r[0]), default=(None, None))

@@ -8,7 +8,8 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Characters of text that one step inside a task holds as words at a time.
 CHUNK_CHARS = 2_000_000
@@ -45,6 +46,11 @@ def kept(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct, whatever their names."""
+    return F.struct(*[df["`" + c.replace("`", "``") + "`"] for c in df.columns])
+
+
 def chunks(texts: Sequence, chars: int = CHUNK_CHARS) -> Iterator[slice]:
     """Slices of ``texts`` with about ``chars`` characters; a longer text stands alone."""
     start, held = 0, 0

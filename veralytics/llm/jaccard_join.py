@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veralytics.llm.common import kept, sliced
+from veralytics.llm.common import kept, packed, sliced
 from veralytics.llm.components import components
 from veralytics.llm.id_bits import bitmap, hits, parted
 from veralytics.llm.shingles import fingerprint, shingle_sets
@@ -440,8 +440,10 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     found = kept(lesser.union(twice).groupBy("id").agg(F.min("twice").alias("twice")))
     maybe, sure = parted(docs, bitmap(found))
     names = docs.columns
-    looked_up = maybe.select(F.struct(*[maybe[c] for c in names]).alias("row"), maybe["doc_id"].cast("long").alias("key"))
+    looked_up = maybe.select(packed(maybe).alias("row"), maybe["doc_id"].cast("long").alias("key"))
     looked_up = looked_up.join(found, F.col("key") == F.col("id"), "left").where("twice IS NULL OR twice")
-    repeated = looked_up.where("twice").groupBy("key").agg(F.min("row").alias("row"))
+    # Maps have no order, their text has.
+    smallest = F.min_by("row", F.to_json("row")) if '"type":"map"' in docs.schema.json() else F.min("row")
+    repeated = looked_up.where("twice").groupBy("key").agg(smallest.alias("row"))
     rows = looked_up.where("twice IS NULL").select("row").union(repeated.select("row"))
     return sure.union(rows.select(*[F.col("row")[c].alias(c) for c in names]))

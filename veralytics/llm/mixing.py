@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veralytics.llm.common import kept
+from veralytics.llm.common import kept, packed
 
 WEIGHTS = (1, 2, 3)
 MOST_REPEATS = 3
@@ -177,8 +177,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 0) -> D
     nothing but their source, so they are drawn together.
     """
     plan = drawn(docs, weights, seed).where(F.size("draws") > 0).groupBy("doc_id", "source").agg(F.first("draws").alias("draws"))
-    plan = plan.select(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.explode("draws").alias("_mix_draw"))
-    rows = docs.join(plan, docs["doc_id"].eqNullSafe(plan["_mix_id"]) & docs["source"].eqNullSafe(plan["_mix_source"]))
-    order = F.xxhash64(F.lit(seed), F.col("_mix_draw.shard"), F.col("_mix_draw.pass_no"), F.col("_mix_id"))
-    shards = F.col("_mix_draw.shard")
-    return rows.repartition(shards).sortWithinPartitions(shards, order).select(*[docs[c] for c in docs.columns])
+    plan = plan.select("doc_id", "source", F.explode("draws").alias("draw"))
+    rows = docs.select(packed(docs).alias("row"))  # one column, so that no name of docs can clash
+    rows = rows.join(plan, F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & F.col("row.source").eqNullSafe(F.col("source")))
+    order = F.xxhash64(F.lit(seed), F.col("draw.shard"), F.col("draw.pass_no"), F.col("doc_id"))
+    shards = F.col("draw.shard")
+    return rows.repartition(shards).sortWithinPartitions(shards, order).select(*[F.col("row")[c].alias(c) for c in docs.columns])

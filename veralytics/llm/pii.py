@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veralytics.llm.common import packed
+
 KEY = "pseudonym key"
 ROUNDS = 8
 FIRST_DAY, SPAN = -25_567, 65_536  # 1900-01-01 as days since 1970
@@ -193,6 +195,6 @@ def pseudonymized(docs: DataFrame, key: str = KEY) -> DataFrame:
 
 def without_private(docs: DataFrame, key: str = KEY) -> DataFrame:
     """``docs`` with all its columns, its text as :func:`pseudonymized` gives it."""
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row")).withColumn("found", _found(F.col("row.text"), key))
+    rows = docs.select(packed(docs).alias("row")).withColumn("found", _found(F.col("row.text"), key))
     text = _written(F.col("row.text"), F.col("found"))
     return rows.select(*[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

@@ -176,7 +176,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, least_score: float = LEAST_SCO
     Verdicts are those of :func:`judge`; of the texts, only those of at most ``rows``
     labelled documents are read before the pass that filters.
     """
-    chosen = labelled_sample(labels.select("doc_id").distinct(), labels, "quality", rows)
+    chosen = labelled_sample(docs.select(F.col("doc_id").cast("long").alias("doc_id")), labels, "quality", rows)  # as judge draws it: labels of other documents do not count
     train = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
     forest = fit(kept(stats_table(train)), labels, rows)
 
