@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from veralytics.operators import events as E
@@ -102,6 +103,38 @@ def test_pending_state_is_a_table(spark, tmp_path):
     assert seen.count(("b", "00:10:00", "expired")) == 0 and ("b", "02:00:00", "active") in seen
 
 
+@pytest.mark.parametrize("kind", ["stream"])
+def test_keys_share_a_group_and_end_one_by_one(spark, tmp_path, kind):
+    """Forty keys in two groups: each has its own newest row, its own end and its own row of the table."""
+    log, out = tmp_path / "log", str(tmp_path / "out")
+    gold = spark.createDataFrame([("d", f"k{i}", None if i % 5 == 0 else str(i), 1, "true") for i in range(40)], "domain string, entity string, value string, version int, is_current string")
+    # Every key, then a third of them again, then one key so late that the watermark (01:30 + 4 h) passes the others' first rows up to 01:30.
+    batches = [
+        [(f"k{i}", f"0{i % 4}:{i:02}:00") for i in range(40)], [(f"k{i}", "04:30:00") for i in range(0, 40, 3)] + [("k4", "00:01:00")], [("k39", "06:30:00")],
+    ]
+    newest, active, expired = {}, set(), set()
+    for i, rows in enumerate(batches):
+        write_log(log, f"{i}.jsonl", [(f"{i}-{e}-{ts}", f"2024-01-01T{ts}", "STALENESS_DETECTED", e, "INFO") for e, ts in rows])
+        for e, ts in rows:
+            if ts > newest.get(e, ""):
+                newest[e] = ts
+                active.add((e, ts))
+        with Z.rocks_state(spark):
+            make = Z.pending_stream if kind == "stream" else Z.pending_state
+            stream = make(Z.readiness_stream(readers.event_log_stream(spark, str(log)), gold), groups=2)
+            found = Z.run_available(stream, out, "update").collect()
+    expired = {(e, ts) for e, ts in newest.items() if ts <= "01:30:00"}
+    assert 5 < len(expired) < 35
+    seen = [(r.entity, str(r.ready_at)[11:], r.status) for r in found]
+    assert sorted(seen) == sorted([(*x, "active") for x in active] + [(*x, "expired") for x in expired])
+    assert all(r.value == (None if int(r.entity[1:]) % 5 == 0 else r.entity[1:]) for r in found)
+    if kind == "state":
+        left = sorted((r.entity, str(r.ready_at)[11:]) for r in Z.pending_table(spark, f"{out}/_checkpoint").collect())
+        assert left == sorted((e, ts) for e, ts in newest.items() if (e, ts) not in expired)
+    else:
+        assert spark.read.format("statestore").load(f"{out}/_checkpoint").count() == 2
+
+
 def test_log_sink(spark, tmp_path):
     log = tmp_path / "log"
     write_log(log, "1.jsonl", [("1", "2024-01-01T00:00:00", "EXPIRY_ALERT", "a", "INFO"), ("2", "2024-01-02T00:00:00", "EXPIRY_ALERT", "a", "INFO")])
