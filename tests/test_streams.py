@@ -103,7 +103,7 @@ def test_pending_state_is_a_table(spark, tmp_path):
     assert seen.count(("b", "00:10:00", "expired")) == 0 and ("b", "02:00:00", "active") in seen
 
 
-@pytest.mark.parametrize("kind", ["stream"])
+@pytest.mark.parametrize("kind", ["stream", "state"])
 def test_keys_share_a_group_and_end_one_by_one(spark, tmp_path, kind):
     """Forty keys in two groups: each has its own newest row, its own end and its own row of the table."""
     log, out = tmp_path / "log", str(tmp_path / "out")
