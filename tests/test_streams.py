@@ -1,6 +1,8 @@
 """State over several batches."""
 
+import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -135,6 +137,29 @@ def test_keys_share_a_group_and_end_one_by_one(spark, tmp_path, kind):
         assert spark.read.format("statestore").load(f"{out}/_checkpoint").count() == 2
 
 
+def test_link_reads_only_the_ends_of_a_slot(spark, tmp_path):
+    """Several batches against brute force, times on slot and window ends too; a task passes on two ends per slot."""
+    rng = random.Random(5)
+    start = dt.datetime(2024, 1, 1)
+    moments = lambda n, lo, hi: [start + dt.timedelta(minutes=rng.choice([rng.randint(lo, hi), 60 * rng.randint(lo // 60, hi // 60)]), microseconds=rng.choice([0, 1])) for _ in range(n)]
+    inj, out, folder = str(tmp_path / "inj"), str(tmp_path / "out"), str(tmp_path / "run")
+    injections, outcomes = [], []
+    for lo, hi in ((0, 900), (840, 1700)):
+        one = [(rng.choice(["a", "b", "c", None]), t) for t in moments(9, lo, hi)]
+        two = [(len(outcomes) + i, rng.choice(["a", "b", "c", "d", None]), t) for i, t in enumerate(moments(120, lo, hi))]
+        spark.createDataFrame(one, "domain string, injected_at timestamp_ntz").coalesce(1).write.mode("append").parquet(inj)
+        spark.createDataFrame(two, "outcome_id int, domain string, outcome_ts timestamp_ntz").coalesce(1).write.mode("append").parquet(out)
+        injections, outcomes = injections + one, outcomes + two
+        live = lambda at, schema: spark.readStream.schema(schema).parquet(at)
+        linked = Z.link_stream(live(inj, "domain string, injected_at timestamp_ntz"), live(out, "outcome_id int, domain string, outcome_ts timestamp_ntz"), salt=2)
+        found = Z.run_available(linked, folder)
+    window = dt.timedelta(hours=4)
+    expected = sorted(i for i, d, t in outcomes if d is not None and any(d == e and u <= t <= u + window for e, u in injections))
+    assert sorted(r.outcome_id for r in found.collect()) == expected and 0 < len(expected) < len(outcomes)
+    hot = spark.range(20_000, numPartitions=2).select(F.lit("a").alias("domain"), F.timestamp_seconds(F.col("id")).cast("timestamp_ntz").alias("injected_at"))
+    assert Z.slot_ends(hot, 4 * Z.HOUR_US).count() <= 4
+
+
 def test_log_sink(spark, tmp_path):
     log = tmp_path / "log"
     write_log(log, "1.jsonl", [("1", "2024-01-01T00:00:00", "EXPIRY_ALERT", "a", "INFO"), ("2", "2024-01-02T00:00:00", "EXPIRY_ALERT", "a", "INFO")])
