@@ -11,9 +11,11 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from veralytics.operators import contains_join as contains_join_module
 from veralytics.operators import coverage, medallion, postings, vector_index, vector_join
 from veralytics.operators import injection as I
+from veralytics.operators import ordered_join as ordered_join_module
 from veralytics.operators import retrieval as X
 from veralytics.operators import value as V
 from veralytics.operators.contains_join import contains_join
@@ -64,6 +66,34 @@ def test_lookups_read_gold_once(spark, tmp_path):
     assert found == {1: ("exact", "Name 7"), 2: ("contains", "Name 41"), 3: ("none", None)}
 
 
+def test_lineage_in_order_without_a_sort_of_its_rows(spark, monkeypatch):
+    """A blank is in every name; neither it nor repeated, null or equal values cost a shuffle of all pairs or their order."""
+    monkeypatch.setattr(ordered_join_module, "ROWS", 16)
+    rng = random.Random(5)
+    gold = [(rng.choice(["x", "y", None]), rng.choice([None, "Ab c", "b C", "é a", "ZZ "]), rng.choice([None, 1, 2]), str(i % 50)) for i in range(300)]
+    asks = [(rng.choice([None, 1, 2, i, i]), rng.choice(["x", "y", "z", None]), rng.choice([" ", " ", "", "B", "É A", "no", None])) for i in range(120)]
+    names = spark.createDataFrame(gold, "domain string, entity string, version int, value string")
+    requests = spark.createDataFrame(asks, "request_id int, domain string, entity string")
+    got = medallion.lineage(names, requests, order=("request_id", "version", "entity"))
+    rows = [(r.request_id, r.version, r.entity, r.domain, r.request_entity, r.value) for r in got.collect()]
+    expected = [
+        (n, v, e, d, asked, value) for n, d, asked in asks for d2, e, v, value in gold
+        if d is not None and d == d2 and None not in (e, asked) and asked.lower() in e.lower()
+    ]
+    low_null = lambda x: (x is not None, x if x is not None else 0)
+    place = lambda r: (low_null(r[0]), low_null(r[1]), r[2].encode())
+    assert Counter(rows) == Counter(expected) and [place(r) for r in rows] == sorted(map(place, expected))
+    assert sorted(got.columns) == ["domain", "entity", "request_entity", "request_id", "value", "version"]
+
+
+def test_lineage_query_moves_no_pair(spark, sf_dir):
+    """The rows come out in order, and no range partitioning deals them out for a sort."""
+    history = entry.queries()["lineage"](spark, sf_dir)
+    assert "rangepartitioning" not in history._jdf.queryExecution().executedPlan().toString()
+    rows = [(r.request_id, r.version, r.entity) for r in history.collect()]
+    assert rows == sorted(rows) and len(rows) > 0
+
+
 @pytest.mark.parametrize("size", [1, 2, 501])
 def test_exact_median(spark, size):
     rng = random.Random(size)
