@@ -173,6 +173,59 @@ def test_sketch_never_drops_a_link():
             assert jaccard_join.near_pairs(region, 90) == [(2, 1)]
 
 
+def test_clusters_join_all_sets_that_places_leave_linkable():
+    """Against all pairs, with rows that come in several batches."""
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        percent, rows = int(rng.choice([50, 80, 90, 100])), {}
+        for token, node in rng.integers(0, [3, 12], (20, 2)):
+            size = int(rng.integers(1, 60))
+            place = int(rng.integers(0, len(jaccard_join.place_spans(size, percent))))
+            rows[int(token), int(node)] = (int(jaccard_join.place_spans(size, percent)[place]), size, place)
+        order = sorted((t, span, n) for (t, n), (span, _, _) in rows.items())
+        got, state, at = set(), [], 0
+        while at < len(order):
+            end = at + int(rng.integers(1, 8))
+            batch = np.array([*state, *((t, n, span) for t, span, n in order[at:end])], np.int64)
+            lead, node, last = jaccard_join.clustered(*batch.T)
+            got |= set(zip(lead.tolist(), node.tolist(), strict=True))
+            state, at = [last] if last else [], end
+        expected = set()
+        for token in {t for t, _ in rows}:
+            left = [n for t, _, n in order if t == token]
+            while left:
+                part = [left.pop(0)]
+                for x in part:
+                    for y in left[:]:
+                        (_, a, i), (_, b, j) = rows[token, x], rows[token, y]
+                        shared = min(a - i, b - j)
+                        if 100 * shared >= percent * (a + b - shared):
+                            part.append(y)
+                            left.remove(y)
+                if len(part) > 1:
+                    first = min(part, key=lambda n: (rows[token, n][0], n))
+                    expected |= {(first, n) for n in part}
+        assert got == expected
+
+
+def test_sets_of_unlike_sizes_form_no_region(make_docs):
+    """A shared rare shingle alone brings sets together only if they may be linked."""
+    texts = ["a b c " + " ".join(f"x{n}y{i}" for i in range(n)) for n in (20, 40, 80, 160)]
+    assert Join(make_docs(list(enumerate(texts))))._regions().count() == 0
+    texts.append("a b c " + " ".join(f"x160y{i}" for i in range(159)))
+    assert Join(make_docs(list(enumerate(texts))))._regions().select("node").distinct().count() == 2
+
+
+def test_a_set_in_many_rows_is_compared_once(make_docs, monkeypatch):
+    """Rows that repeat a doc_id and its text in several partitions."""
+    words = [f"w{i}" for i in range(60)]
+    docs = make_docs([(1, " ".join(words)), (2, " ".join(words[:59]))])
+    docs = docs.union(docs).union(docs).repartition(5)
+    assert [r["component_id"] for r in jaccard_join.join(docs).collect()] == [1] * 6
+    monkeypatch.setattr(jaccard_join, "solve_family", lambda family, percent: [(len(family), 0)])
+    assert [r["a"] for r in Join(docs).links().collect()] == [2]
+
+
 def test_one_of_each(hard_docs, no_docs, make_docs):
     rows = jaccard_join.one_of_each(hard_docs, 5, 80)
     assert rows.columns == hard_docs.columns

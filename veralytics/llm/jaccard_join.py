@@ -3,10 +3,12 @@
 ``1 - Jaccard`` is a metric, so distances to a pivot bound the distance of two
 sets. Between unrelated sets it is 1 almost everywhere and bounds nothing, so
 pivots are chosen where they say something: two linked sets share one of their
-rarest shingles (by any one order of shingles), and the sets that share such a
-shingle form a region around its smallest member, the pivot.
+rarest shingles (by any one order of shingles). Of the sets that share such a
+shingle, those that their sizes and the shingle's place in them leave linkable
+form a region around one of them, the pivot. Shingles are moved once, and only
+regions of several sets come out.
 
-Most sets of a region are far apart. Counts of a set's shingles by hash, a small
+Most sets of a region are still far apart. Counts of a set's shingles by hash, a small
 fraction of its size, bound the distance of two sets from below; sets that this
 bound leaves near each other form a family, and a family's sets are read once.
 
@@ -91,6 +93,47 @@ def sketch(own: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount((own >> np.uint64(64 - k)).astype(np.int64), minlength=2**k), 255).astype(np.uint8)
 
 
+# Bits of the second of two numbers that a span holds.
+FAR_BITS = 31
+
+
+def place_spans(size: int, percent: int) -> np.ndarray:
+    """Per place in a set's order, from its rarest shingle on, which sets may be linked when that is their first shared shingle.
+
+    With ``place`` shingles before it the intersection is at most ``size - place``, which
+    bounds the other set's size. Two sets may be linked only if neither is larger than the
+    other's bound: a set whose bound is its size or more is an interval (size, bound) and meets
+    the intervals that overlap with it, any other lies inside those that it meets. A span holds
+    twice the lower end, plus 1 for a set of the second kind, then the upper end.
+    """
+    n = size - -(-size * percent // 100) + 1
+    bound = np.minimum((100 + percent) * (size - np.arange(n)) // percent - size, 2**FAR_BITS - 1)
+    return (2 * np.minimum(bound, size) + (bound < size) << FAR_BITS) + np.maximum(bound, size)
+
+
+def clustered(token: np.ndarray, node: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple | None]:
+    """(lead, node) of sets of one token that spans join, sorted by (token, span, node); a set joined with none is left out.
+
+    The last value is a row that stands for all rows of the last token when more of them follow.
+    """
+    low, far = span >> (FAR_BITS + 1), span & (2**FAR_BITS - 1)
+    whole = (span >> FAR_BITS) & 1 == 0
+    group = np.cumsum(np.concatenate([[0], token[1:] != token[:-1]])) << (FAR_BITS + 1)
+    reached = np.maximum.accumulate(group + np.where(whole, far + 1, 0))
+    # The highest end of the token's intervals so far; -1 if there are none.
+    before = np.maximum(np.concatenate([[0], reached[:-1]]) - group, 0) - 1
+    first = whole & (before < low)
+    cluster = np.cumsum(first) - 1
+    heads = np.flatnonzero(first)
+    twin = np.concatenate([[False], (group[1:] == group[:-1]) & (node[1:] == node[:-1]) & (span[1:] == span[:-1])])
+    member = np.flatnonzero((whole | (before >= far)) & ~twin)
+    member = member[np.bincount(cluster[member], minlength=len(heads))[cluster[member]] > 1]
+    end = int(reached[-1] - group[-1]) - 1
+    head = heads[-1] if end >= 0 else None
+    state = None if head is None else (token[head], node[head], (low[head] << (FAR_BITS + 1)) + end)
+    return node[heads[cluster[member]]], node[member], state
+
+
 def near_pairs(region: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
     """Links that span the components of the pairs that sizes and sketches leave possible.
 
@@ -182,8 +225,8 @@ def _pairs(rows) -> pd.DataFrame:
     return pd.DataFrame({"a": [int(a) for a, _ in rows], "b": [int(b) for _, b in rows]}, dtype=np.int64)
 
 
-def _each(rows: DataFrame, calls: int, solve) -> DataFrame:
-    """``solve`` over each lead's rows, with many leads to a call; its pairs as (a, b)."""
+def _each(rows: DataFrame, calls: int, solve, once: str | None = None) -> DataFrame:
+    """``solve`` over each lead's rows, with many leads to a call; its pairs as (a, b). ``once``: a column whose first value per node is taken."""
 
     def call(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("lead", ignore_index=True)
@@ -191,7 +234,10 @@ def _each(rows: DataFrame, calls: int, solve) -> DataFrame:
         return _pairs([p for a, b in zip([0, *edges], [*edges, len(part)], strict=True) for p in solve(part.iloc[a:b])])
 
     rows = rows.withColumn("call", F.pmod(F.xxhash64("lead"), F.lit(max(1, calls))))
-    return _spread(rows, "call").groupBy("call").applyInPandas(call, "a long, b long")
+    rows = _spread(rows, "call")
+    if once:
+        rows = rows.groupBy("call", "lead", "node").agg(F.first(once).alias(once))
+    return rows.groupBy("call").applyInPandas(call, "a long, b long")
 
 
 def _spread(rows: DataFrame, *keys: str) -> DataFrame:
@@ -242,28 +288,38 @@ class Join:
         return both.where("part IS NULL").drop("part", "counts"), counts.ravel()
 
     def _regions(self) -> DataFrame:
-        """(lead, node): the sets that share a shingle of their prefixes with the pivot ``lead``, itself included."""
+        """(lead, node): the sets that share a shingle of their prefixes with the pivot ``lead`` and may be linked, itself included."""
         words, percent, counts = self.words, self.percent, self.counts
 
         def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             done: set[int] = set()  # of this task's rows
             for texts in (texts for batch in batches for _, texts in sliced(batch)):
-                token, node = [], []
+                token, node, span = [], [], []
                 for own in shingle_sets(texts, words):
                     name = fingerprint(own) if len(own) else None
                     if name is None or name in done:
                         continue
                     done.add(name)
-                    n = len(own) - -(-len(own) * percent // 100) + 1
-                    rare = np.lexsort((own, counts[_bucket(own)]))[:n]
+                    span.append(place_spans(len(own), percent))
+                    rare = np.lexsort((own, counts[_bucket(own)]))[: len(span[-1])]
                     token.append(own[rare].view(np.int64))
-                    node.append(np.full(n, name, np.int64))
+                    node.append(np.full(len(rare), name, np.int64))
                 if token:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token)), pa.array(np.concatenate(node))], ["token", "node"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (token, node, span)], ["token", "node", "span"])
+
+        def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            state = None
+            for batch in batches:
+                rows = [c.to_numpy() for c in batch.columns]
+                if state:
+                    rows = [np.concatenate([[x], c]) for x, c in zip(state, rows, strict=True)]
+                if len(rows[0]):
+                    lead, node, state = clustered(*rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(lead), pa.array(node)], ["lead", "node"])
 
-        tokens = kept(self.docs.where("doc_id IS NOT NULL").mapInArrow(prefixes, "token long, node long"))
-        shared = tokens.groupBy("token").agg(F.min("node").alias("lead"), F.max("node").alias("top")).where("lead < top")
-        return kept(tokens.join(shared.select("token", "lead"), "token").select("lead", "node").distinct())
+        tokens = self.docs.where("doc_id IS NOT NULL").mapInArrow(prefixes, "token long, node long, span long")
+        tokens = _spread(tokens, "token").sortWithinPartitions("token", "span", "node")
+        return kept(tokens.mapInArrow(regions, "lead long, node long").distinct())
 
     def _families(self) -> DataFrame:
         """(lead, node): families of sets that may be near each other, named by their smallest member."""
@@ -276,60 +332,59 @@ class Join:
         parts = components(_each(rows, calls, lambda region: near_pairs(region, percent)).union(large))
         return kept(parts.select(F.col("component").alias("lead"), "node"))
 
-    def _shingles(self, nodes: DataFrame) -> DataFrame:
-        """node, n and shingles (so many sorted hashes as bytes) of these nodes, each read from one document."""
-        words = self.words
+    def _members(self, families: DataFrame) -> DataFrame:
+        """lead, node, doc_id (of the document that the set is read from) and n (its shingles) of all sets in families."""
         named = self.named.where("doc_id IS NOT NULL AND node IS NOT NULL")
-        first = kept(named.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(nodes.distinct(), "node", "left_semi"))
-        bits = bitmap(first.select(F.col("doc_id").alias("id")))
+        first = named.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
+        return kept(families.join(first, "node").select("lead", "node", "doc_id", "n"))
+
+    def _shingles(self, members: DataFrame) -> DataFrame:
+        """``members`` with shingles (so many sorted hashes as bytes); a task gives a row at most for each member, of its documents."""
+        words = self.words
+        bits = bitmap(members.select(F.col("doc_id").alias("id")))
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            done: set[tuple[int, int]] = set()
             found = (batch.filter(pa.array(hits(bits, batch.column("doc_id")))) for batch in batches)
             for own, texts in (part for batch in found for part in sliced(batch)):
                 sets = list(shingle_sets(texts, words))
-                full = [i for i, s in enumerate(sets) if len(s)]
+                keys = [(i, fingerprint(s)) if len(s) else None for i, s in zip(own.column("doc_id").to_pylist(), sets, strict=True)]
+                new = {k: s for k, s in zip(keys, sets, strict=True) if k and k not in done}
+                done.update(new)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        own.column("doc_id").take(pa.array(full, pa.int64())),
-                        pa.array([fingerprint(sets[i]) for i in full], pa.int64()),
-                        pa.array([len(sets[i]) for i in full], pa.int64()),
-                        pa.array([sets[i].tobytes() for i in full], pa.binary()),
-                    ],
-                    ["doc_id", "node", "n", "shingles"],
+                    [pa.array([i for i, _ in new], pa.int64()), pa.array([n for _, n in new], pa.int64()), pa.array([s.tobytes() for s in new.values()], pa.binary())],
+                    ["doc_id", "node", "shingles"],
                 )
 
-        rows = self.docs.mapInArrow(read, "doc_id long, node long, n long, shingles binary")
-        return rows.join(first, ["doc_id", "node"]).groupBy("node").agg(
-            F.first("n").alias("n"), F.first("shingles").alias("shingles")
-        )
+        return self.docs.mapInArrow(read, "doc_id long, node long, shingles binary").join(members, ["doc_id", "node"])
 
     def links(self) -> DataFrame:
         """(a, b): links between different sets, enough to join each component; copies of a set share its node."""
         percent = self.percent
-        families = self._families()
-        sets = kept(self._shingles(families.select("node")))
-        size = families.join(sets.select("node", "n"), "node").groupBy("lead").agg(
-            F.count("*").alias("size"), F.sum("n").alias("n"), F.max("node").alias("top")
-        )
+        members = self._members(self._families())
+        size = members.groupBy("lead").agg(F.count("*").alias("size"), F.sum("n").alias("n"), F.max("node").alias("top"))
         blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("n") / BLOCK_SHINGLES)).cast("int")
         size = kept(size.withColumn("blocks", blocks))
-        small = families.join(size.where("blocks = 1").select("lead"), "lead").join(sets, "node")
+        small = members.join(size.where("blocks = 1").select("lead"), "lead")
         calls = int(size.where("blocks = 1").agg(F.sum("n")).first()[0] or 0) // CALL_SHINGLES
-        found = kept(_each(small, calls, lambda family: solve_family(family, percent)))
-        large = size.where("blocks > 1")
+        found = kept(_each(self._shingles(small), calls, lambda family: solve_family(family, percent), once="shingles"))
+        large = size.where("blocks > 1").drop("n")
         if large.isEmpty():
             return found
-        return self._large(families.join(large.drop("n"), "lead").join(sets, "node"), large, sets.drop("n"), found)
+        sets = self._shingles(members.join(large, "lead")).groupBy("node").agg(
+            *[F.first(c).alias(c) for c in ("lead", "blocks", "shingles")]
+        )
+        return self._large(kept(sets), large, found)
 
-    def _large(self, rows: DataFrame, large: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
+    def _large(self, sets: DataFrame, large: DataFrame, found: DataFrame) -> DataFrame:
         """Links of families that no single task compares; ``found`` are the links known so far."""
         percent, reach = self.percent, 1 - self.percent / 100 + 1e-9
-        rows = kept(rows.select("lead", "node", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), "shingles"))
+        rows = sets.select("lead", "node", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), "shingles")
         pivots = large.select("lead", "blocks", F.explode(F.array("lead", "top")).alias("node"))
         far = rows.select("lead", "node", "blocks", "block", F.array().cast("array<double>").alias("far"))
         left = None
         for round_no in range(ROUNDS):
-            chosen = pivots.distinct().join(sets, "node").select(
+            chosen = pivots.distinct().join(sets.select("node", "shingles"), "node").select(
                 F.col("lead").alias("to"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("to_block"),
                 F.col("node").alias("pivot"), F.col("shingles").alias("own"),
             )
